@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, packing, splits
+from . import canonical, encoding, packing, splits
 
 CAPACITY = 2048
 
@@ -20,6 +20,12 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "tokens", CAPACITY).select("doc_id", "part", F.col("size").alias("tokens"), F.col("container").alias("container_id"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    posts = table(spark, d, "posts").where("id IS NOT NULL").where(F.col("location").rlike(r"(?U)\S"))
+    first = posts.groupBy("id").agg(F.min_by("location", "delivery_id").alias("location"))
+    return canonical.match_values(first, "id", "location", table(spark, d, "gazetteer"), table(spark, d, "region_codes"))
+
+
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
@@ -34,6 +40,7 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p7_ids": p7_ids,
