@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canonical, encoding, packing, splits
+from . import canonical, encoding, garbled, packing, splits
 
 CAPACITY = 2048
 
@@ -39,12 +39,22 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return out.select("record_id", "user_id", F.col("component").alias("group_id"), "split")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restore_garbled(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "restored", "lost")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 _GROUPS = """
