@@ -1,0 +1,408 @@
+"""Personal details in free text: found, and replaced by placeholders of their type.
+
+High-recall generators propose overlapping spans: mail addresses, also disguised; phone numbers;
+identity numbers; street addresses; names of persons. Boosted trees weigh each span by its format,
+its tokens and its context; a threshold per kind, calibrated on held-out rows, selects; of spans
+that overlap the one furthest above its threshold stays (ties: the longer, then the earlier).
+
+The trees are fitted on ``SAMPLE`` labelled rows that ``labelled`` writes from phrase lists, the given
+names and the gazetteer; everything else runs over all texts, whole. Null and empty texts hold nothing.
+"""
+
+from __future__ import annotations
+
+import random
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .boosting import Boosted, calibrated_threshold
+
+KINDS = ("email", "phone", "identity", "address", "name")
+SAMPLE = 9000  # labelled rows for the trees and their thresholds; bounded whatever the corpus
+
+# Generators. The format of a span is its place in this list. Public number and address formats.
+_AT = r"(?:\s?[\[(]\s?at\s?[\])]\s?| at )"
+_DOT = r"(?:\s?[\[(]\s?dot\s?[\])]\s?| dot )"
+_STREET = r"(?:street|st|avenue|ave|lane|drive|close|road|rd\b\.?|way|court|crescent|terrace|boulevard|blvd|gardens|grove|row|square|place)(?!\w)"
+_LAND = r"(?:Hill|Park|Green|Grove|Field|Bridge|Gate|Wood|Hall|Mill|View|Cross|HILL|PARK|GREEN|GROVE|FIELD|BRIDGE|GATE|WOOD|HALL|MILL|VIEW|CROSS)"
+_WORD = r"[^\W\d_]+(?:[’'-][^\W\d_]+)*"
+_UNIT = r"(?:flat|unit|apt|apartment|suite)\.?"
+_NUM = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
+FORMATS: list[tuple[str, str, re.Pattern[str]]] = [
+    (kind, name, re.compile(pattern, re.I if flags else 0))
+    for kind, name, flags, pattern in [
+        ("email", "plain", 0, r"(?<![\w.+-])[\w][\w.+-]*\s?[@＠]\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@])"),
+        ("email", "bracket", 1, rf"(?<![\w.+-])\w[\w.+-]*\s?[\[(]\s?at\s?[\])]\s?[a-z0-9-]+(?:(?:\.|{_DOT})[a-z0-9-]+)+"),
+        ("email", "spoken", 1, rf"(?<![\w.+-])\w[\w.+-]* at [a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+"),
+        ("phone", "plus", 1, r"(?<![\w+])\+\d{1,3}(?:[\s.-]?\(0\))?(?:[\s.-]?\d){7,12}(?:\s?(?:ext\.?|x)\s?\d{1,5})?(?![\d])"),
+        ("phone", "doublezero", 0, r"(?<![\w.+-])00\d{10,13}(?!\d)"),
+        ("phone", "area", 1, r"(?<![\w+])\(\d{2,5}\)\s?\d{3,4}[\s.-]?\d{3,4}(?:\s?(?:ext\.?|x)\s?\d{1,5})?(?!\d)"),
+        ("phone", "dots", 0, r"(?<![\w.,+-])\d{3}\.\d{3}\.\d{4}(?![\d.-]\d|\d)"),
+        ("phone", "dashes344", 0, r"(?<![\w.-])\d{3}-\d{4}-\d{4}(?![\w-])"),
+        ("phone", "dashes343", 0, r"(?<![\w.-])\d{3}-\d{4}-\d{3}(?![\w-])"),
+        ("phone", "dashes334", 0, r"(?<![\w.-])\d{3}[-\s]\d{3}[-\s]\d{4}(?![\w-])"),
+        ("phone", "pairs", 0, r"(?<![\w.+-])0\d{3} \d{2} \d{2} \d{2}(?! ?\d)"),
+        ("phone", "slash", 0, r"(?<![\w.-])0\d{2,4} ?/ ?\d{3} ?\d{3,5}(?!\d)"),
+        ("phone", "words", 1, rf"\b{_NUM}(?: {_NUM}){{6,14}}\b"),
+        ("phone", "digits", 0, r"(?<![\w.+,/-])0\d{8,11}(?![\w-])"),
+        ("identity", "324", 0, r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"),
+        ("identity", "443", 0, r"(?<![\w.-])(?<!\d{4} )\d{4} \d{4} \d{3}(?! ?\d)"),
+        ("identity", "dots", 0, r"(?<![\w.-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w-])"),
+        ("identity", "birth", 0, r"(?<![\w.-])\d{6}-\d{4}(?![\w-])"),
+        ("identity", "pairs", 0, r"(?<![\w.-])[A-Z]{2} \d{2} \d{2} \d{2} [A-Z](?!\w)"),
+        ("identity", "letter", 0, r"(?<![\w.-])[A-Z]\d{7}[A-Z](?![\w-])"),
+        ("identity", "letterdash", 0, r"(?<![\w.-])[A-Z]-\d{7}-[A-Z](?![\w-])"),
+        ("identity", "passport", 0, r"(?<![\w.-])[A-Z]{1,2}\d{7}(?![\w-])"),
+        ("address", "unit", 1, rf"(?<![\w/])(?:{_UNIT} \d+[a-z]?(?:/|,? ))?\d{{1,4}}[a-z]? (?:{_WORD} )?{_WORD} {_STREET}(?:, {_UNIT} \d+[a-z]?)?(?!\w)"),
+        ("address", "rue", 0, rf"(?<![\w/])\d{{1,4}}(?: bis| ter)?,? (?:rue|avenue|allée|chemin) (?:de la |de l’|du |des |de )?{_WORD}(?: {_LAND})?"),
+        ("address", "rua", 0, rf"\b(?:Rua|Calle|Avenida|Via|Plaza|Paseo) (?:da |do |de la |de |del )?{_WORD}(?: {_LAND})?,? \d{{1,4}}[a-z]?(?![\w-])"),
+        ("address", "ul", 0, rf"\b(?:ul|al|os)\. {_WORD}(?: {_LAND})? \d{{1,4}}[a-z]?(?:/\d+)?(?!\w)"),
+        ("address", "улица", 0, rf"\b(?:ул|пр|пер|наб)\. {_WORD}, д\. \d{{1,4}}(?:, кв\. \d+)?"),
+        ("address", "straße", 1, r"\b[^\W\d_]{3,}(?:straße|strasse|str\.|weg|gasse|platz|allee) \d{1,4}[a-z]?(?!\w)"),
+        ("address", "sokak", 0, rf"\b{_WORD}(?: {_LAND})? (?:Sokak|Sk\.|Caddesi|Cad\.|Mahallesi) No: ?\d+(?:/\d+)?"),
+    ]
+]
+NAME_FORMAT = len(FORMATS)
+DIGITISH = re.compile(r"\d\D{0,4}\d\D{0,4}\d\D{0,4}\d\D{0,4}\d\D{0,4}\d")
+NUMBERED = [i for i, (kind, name, _) in enumerate(FORMATS) if kind in ("phone", "identity") and name != "words"]
+DIGIT, MAILISH = re.compile(r"\d"), re.compile(r"[\w.+-]\s?[@＠]\s?[\w-]+\.")
+#: What a text must contain for an address format to be tried.
+HINTS = [
+    (next(i for i, (kind, name, _) in enumerate(FORMATS) if kind == "address" and name == n), hints.split("|"))
+    for n, hints in {
+        "unit": " st|avenue| ave| lane| drive| close| road| rd| way| court| cresc| terr| boul| blvd| gard| grove| row| square| place",
+        "rue": " rue | avenue | allée | chemin ",
+        "rua": "rua |calle |avenida |via |plaza |paseo ",
+        "ul": "ul. |al. |os. ",
+        "улица": "ул. |пр. |пер. |наб. ",
+        "straße": "straße |strasse |str. |weg |gasse |platz |allee ",
+        "sokak": " no:",
+    }.items()
+]
+WORDED = next(i for i, (_, name, _) in enumerate(FORMATS) if name == "words")
+TOKEN = re.compile(r"[^\W\d_]+(?:[’'‑-][^\W\d_]+)*")
+TITLES = frozenset("mr mrs ms dr prof herr frau sr sra señor señora pan pani bay bayan".split())
+#: Endings of family names in the languages of the corpus.
+ENDINGS = tuple("ski ska sky ский ская цкий цкая ов ова ев ева ин ина вин ström strom son sen feld mark oglu oğlu idze dze vili ian nova kin ugi asco ary etter owel oullo nunary stein berg mann wicz czyk ez".split())
+#: Words that tell what stands beside them, by class.
+CUES = {
+    "phone": "tel phone call whatsapp ring number mobile cell text llámame llame llamame joignable numaram numer telefon звоните звони звонить telefone let ticket?",
+    "identity": "passport tax security national id identity ausweis cpf kimlik dowodu паспорт identité card ssn nie dni typed licence social",
+    "other": "parcel order ref flight ticket lottery version model score bus train room gate seat steps catalogue shelf shipped invoice isbn tracking scanned radio stuck paid fare price skips",
+    "person": "by neighbour neighbor with met mrs mr dr signed congrats saw know con avec von dziś spotkałem от привет dear says plays ile yolundayız nurse boss teacher birthday",
+    "place": "in near at to from between w à en na em view lines around over towards arası",
+    "address": "moved keys address adresse jetzt wohnen mieszkam przy теперь живу para mudei vivo party sale outage power önünde buluşalım still app up",
+    "mail": "write mail ping contact schicken escríbeme escribeme email address: e-mail cv tickets news details",
+    "thing": "garden day words period valley view wow bridge town tram wins band open opens closed everything festival",
+}
+CLASS = {w: i for i, (_, ws) in enumerate(CUES.items(), 1) for w in ws.split()}
+SPLIT = re.compile(r"[^\s,;:!?()\[\]“”\"]+")
+CONTEXT = 44
+
+
+class Finder:
+    """Generators and features; ``given`` are known given names, ``places`` names of places."""
+
+    def __init__(self, given: list[str], places: list[str]) -> None:
+        self.given = {n.lower() for n in given}
+        self.heads, self.tails = {n[:3] for n in self.given if len(n) > 4}, {n[-3:] for n in self.given if len(n) > 4}
+        self.places = {w.lower() for p in places for w in TOKEN.findall(p) if len(w) > 2}
+        self.flags: dict[str, int] = {}
+
+    def flag(self, token: str) -> int:
+        """1 known given name, 2 like a given name, 4 like a family name, 8 part of a place, 16 capital, 32 all capitals."""
+        known = self.flags.get(token)
+        if known is None:
+            low = token.lower()
+            known = (low in self.given) | 2 * (len(low) > 4 and low[:3] in self.heads and low[-3:] in self.tails) | 8 * (low in self.places or any(x in self.places for x in low.split("-")))
+            known |= 4 * (len(low) > 4 and low.replace("-", " ").split()[-1].endswith(ENDINGS)) | 16 * token[:1].isupper() | 32 * (token.isupper() and len(token) > 1)
+            if len(self.flags) > 300_000:
+                self.flags.clear()
+            self.flags[token] = known
+        return known
+
+    def names(self, text: str) -> Iterator[tuple[int, int, int, list[str]]]:
+        """Spans that may be a person's name: (start, end, form, [given, family]); form 1 with initial, 2 family name first."""
+        tokens = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
+        for i in range(len(tokens) - 1):
+            a, b, x = tokens[i]
+            c, d, y = tokens[i + 1]
+            gap = text[b:c]
+            if a and text[a - 1] in "@#_+.-／/" and (a < 2 or text[a - 1] != "." or text[a - 2] != " "):
+                if text[a - 1] in "@#_+/":
+                    continue
+            f, g = self.flag(x), self.flag(y)
+            if gap == " ":
+                if len(y) == 1 and y.isupper() and i + 2 < len(tokens) and text[d : tokens[i + 2][0]] == ". ":
+                    _, e, z = tokens[i + 2]
+                    h = self.flag(z)
+                    if (f & 3 or h & 4) and f & 16 and h & 16 and not self.handled(text, e):
+                        yield a, e, 1, [x, z]
+                    continue
+                if (f & 1 or f & 2 or g & 4) and (f & 16) == (g & 16) and len(x) > 1 and len(y) > 2 and not self.handled(text, d):
+                    yield a, d, 0, [x, y]
+            elif gap == ", " and f & 4 and len(y) > 2 and (f & 16) == (g & 16) and (g & 3 or g & 16 and not f & 8) and not self.handled(text, d):
+                yield a, d, 2, [y, x]
+
+    @staticmethod
+    def handled(text: str, end: int) -> bool:
+        """Whether the span runs into something that makes it part of an address or handle."""
+        return end < len(text) and (text[end] in "_@＠+" or text[end].isdigit() or (text[end] in ".-" and end + 1 < len(text) and text[end + 1].isalnum()))
+
+    def spans(self, text: str) -> list[tuple[int, int, int, int, list[str]]]:
+        """All proposed spans: (start, end, format, form, names)."""
+        out, chosen, low = [], [], text.lower()
+        if ("@" in low or "＠" in low) and MAILISH.search(text):
+            chosen.append(0)
+        if "at]" in low or "at)" in low or "at )" in low or "at ]" in low:
+            chosen.append(1)
+        if " dot " in low:
+            chosen.append(2)
+        if DIGIT.search(text):
+            chosen += [k for k, hints in HINTS if any(h in low for h in hints)]
+            if DIGITISH.search(text):
+                chosen += NUMBERED
+        if " zero " in low or " five " in low or " nine " in low or " one " in low and " two " in low:
+            chosen.append(WORDED)
+        for k in chosen:
+            for m in FORMATS[k][2].finditer(text):
+                out.append((m.start(), m.end(), k, 0, []))
+        out += [(a, e, NAME_FORMAT, form, pair) for a, e, form, pair in self.names(text)]
+        return out
+
+    def features(self, text: str, span: tuple[int, int, int, int, list[str]]) -> list[int]:
+        start, end, k, form, pair = span
+        found = text[start:end]
+        row = [0] * WIDTH
+        row[min(k, NAME_FORMAT)] = 1
+        at = NAME_FORMAT + 1
+        before = SPLIT.findall(text[max(0, start - CONTEXT) : start])[-4:]
+        after = SPLIT.findall(text[end : end + CONTEXT])[:4]
+        for near, w in enumerate(reversed(before)):
+            if c := CLASS.get(w.lower().strip(".’'—/-")):
+                row[at + c - 1] = max(row[at + c - 1], 4 - near)
+        at += len(CUES)
+        for near, w in enumerate(after):
+            if c := CLASS.get(w.lower().strip(".’'—/-")):
+                row[at + c - 1] = max(row[at + c - 1], 4 - near)
+        at += len(CUES)
+        digits = sum(c.isdigit() for c in found)
+        row[at : at + 6] = [min(digits, 20), min(len(found), 60) // 3, min(found.count(" "), 9), min(found.count("-") + found.count("."), 9), found.isupper(), found.islower()]
+        at += 6
+        if pair:
+            f, g = self.flag(pair[0]), self.flag(pair[1])
+            row[at : at + 10] = [f & 1, f >> 1 & 1, g >> 2 & 1, f >> 3 & 1, g >> 3 & 1, g & 1, f >> 4 & 1, form, "’" in pair[1] or "-" in pair[1], len(pair[1]) > 4]
+        elif FORMATS[k][0] == "address":
+            words = [w for w in TOKEN.findall(found) if w.lower() not in ("flat", "unit", "apt")]
+            row[at + 10] = 1 + (len({w[0].isupper() for w in words[:-1]}) > 1)  # mixed cases speak for a sentence
+        elif FORMATS[k][0] == "email":
+            domain = re.split(r"[@＠]|\bat\b", found, flags=re.I)[-1]
+            row[at + 11] = 1 + any(c.isdigit() for c in domain) + 2 * (re.search(r"\w", found[:1]) is None)
+        row[at + 12] = int(start == 0 or text[start - 1] in "\n") + 2 * int(end == len(text) or text[end] in "\n")
+        return [int(v) for v in row]
+
+
+WIDTH = NAME_FORMAT + 1 + 2 * len(CUES) + 6 + 13
+
+
+def labelled(given: list[str], places: list[str], n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Texts with the spans of their details, written from phrase lists: the labelled rows the trees are fitted on."""
+    r = random.Random(seed)
+    given, places = sorted(given) or ["Ada"], sorted(places) or ["Arden"]
+    pick, number = r.choice, lambda a, b: str(r.randint(a, b))
+    digits = lambda k: "".join(pick("0123456789") for _ in range(k))
+    letters = lambda k: "".join(pick("ABCDEFGHJKLMNPRSTVWXYZ") for _ in range(k))
+    stems = "Bren Dorm Kell Harv Tol Mird Stav Rask Lund Vost Galt Pern Quor Zim Ard Feld Hol".split()
+    streets = "Alder Birch Copper Drover Elm Fuller Garnet Heath Ivory Jasper Kiln Laurel Mason".split()
+
+    def family() -> str:
+        s = pick(stems) + pick(["", "ar", "en", "ov", "ith", "un"]) + pick("ski strom son feld mark oglu idze nova kin ugi asco ary etter owel oullo oğlu ström".split())
+        return ("O’" if r.random() < 0.08 else "") + s + ("-" + pick(stems) + "ov" + pick(["feld", "ary", "kin"]) if r.random() < 0.12 else "")
+
+    def first() -> str:
+        return pick(given) if r.random() < 0.7 else pick(given)[:3] + pick(given)[-3:] if r.random() < 0.7 else pick(stems) + pick(["a", "o", "ia", "is", "en"])
+
+    def name() -> str:
+        if r.random() < 0.1:
+            return pick("Ратимир Велена Огнян Милана Боримир".split()) + " " + pick("Долинский Карская Бойков Левина Сомова Ветрин".split())
+        f, s = first(), family()
+        out = f"{f} {letters(1)}. {s}" if r.random() < 0.15 else f"{s}, {f}" if r.random() < 0.12 else f"{f} {s}"
+        return out if r.random() < 0.75 or "." in out else out.upper() if r.random() < 0.5 else out.lower()
+
+    def mail() -> str:
+        local = pick([family().lower().replace("’", ""), first().lower() + pick(["_" + digits(2), "+" + pick(["news", "run", "cats"]), "." + pick(stems).lower(), "-" + pick(stems).lower()])])
+        domain, top = pick(["mail", "post", "inbox", "web.mail", "uni", "letters", "corp"]), pick(["example", "test", "org", "net", "invalid", "com"])
+        out = pick([f"{local}@{domain}.{top}"] * 4 + [f"{local} [at] {domain}.{top}", f"{local}(at){domain}(dot){top}", f"{local} at {domain} dot {top}", f"{local} @ {domain}.{top}", f"{local}＠{domain}.{top}"])
+        return out.upper() if r.random() < 0.05 else out
+
+    def phone() -> str:
+        d = digits
+        words = " ".join(pick("zero one two three four five six seven eight nine".split()) for _ in range(r.choice([7, 10, 10, 11])))
+        out = pick([f"+{d(3)} {d(2)} {d(3)} {d(2)} {d(2)}", f"+{d(12)}", f"+{d(3)} (0){d(2)} {d(6)}", f"+{d(3)}-{d(3)}-{d(3)}-{d(3)} ext. {d(2)}", f"00{d(12)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(4)}-{d(4)}", f"0{d(3)} {d(2)} {d(2)} {d(2)}", f"0{d(3)} / {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)}-{d(4)}-{d(3)}", words])
+        return out.translate({48 + i: 0xFF10 + i for i in range(10)}) if r.random() < 0.06 and "+" not in out else out
+
+    def identity() -> str:
+        d = digits
+        return pick([f"{d(3)}-{d(2)}-{d(4)}"] * 3 + [f"{d(4)} {d(4)} {d(3)}", f"{d(3)}.{d(3)}.{d(3)}-{d(2)}", f"{d(6)}-{d(4)}", f"{letters(2)} {d(2)} {d(2)} {d(2)} {letters(1)}", f"{letters(1)}{d(7)}{letters(1)}", f"{letters(2)}{d(7)}", f"{letters(1)}-{d(7)}-{letters(1)}"])
+
+    def address() -> str:
+        s, n = pick(streets) + pick(["", "", "", " Hill"]), number(1, 180)
+        return pick([f"{n} {s} Street", f"{n} {s} Avenue".upper(), f"{n}{pick('abc')} {s} Rd.", f"{n} {s} st".lower(), f"Flat {number(1, 30)}, {n} {s} Close", f"{n} {s} Lane, Apt {number(1, 30)}", f"Unit {number(1, 30)}/{n} {s} Drive", f"{n} rue {s}", f"{n} bis, rue de la {s}", f"Rua {s}, {n}", f"Calle {s} {n}", f"ul. {s} {n}/{number(1, 30)}", f"ул. {pick(['Лесная', 'Речная', 'Новая'])}, д. {n}", f"{s.replace(' ', '')}straße {n}", f"{s.replace(' ', '')}weg {n}{pick('abc')}", f"{s} Sokak No: {n}"])
+
+    frames = {
+        "name": ["{} says hi", "met {} today", "photo by {}", "my neighbour {} plays the drums", "does anybody know {}?? owes me a book", "congrats {} on the new job!", "signed, {}", "the nurse, Mrs {}, was so kind", "thank you Dr. {} for everything", "dinner with {} in <P>", "saw {} at the station", "con {} en <P>", "avec {} à <P>", "Geburtstag von {} in <P>", "{} ile <P> yolundayız", "spotkałem dziś {} w <P>", "привет от {}", "{}"],
+        "email": ["write me at {} if you find it", "ping {} please", "contact : {} merci", "Bitte an {} schicken", "new address: {} (the old one bounces)", "{}", "selling two tickets, {} for details", "lost cat near <P>, any news to {}!", "cv goes to {}, deadline friday", "escríbeme a {} por favor"],
+        "phone": ["tel. {}", "call me on {} when you reach <P>", "my new number is {}", "whatsapp {} for the spare ticket", "{} text only, no calls", "room to let, {} evenings", "llámame al {} cuando llegues", "joignable au {} après midi", "yeni numaram {}", "mój numer to {}", "звоните {}", "{}", "found a wallet in <P>, owner please ring {}"],
+        "identity": ["my passport {} expires in may", "tax id {} got rejected twice", "social security no. {} and they still lost it", "national id {} printed on the form", "Ausweis {} verloren, bitte melden", "cpf {} deu erro de novo", "kimlik no {} yazıyor", "numer dowodu {} znowu nie działa", "паспорт {} потерян", "carte d’identité {} retrouvée dans le bus", "visa office in <P> typed {} instead of mine", "who posts their card online?? {} right there in the photo", "they even asked for my id number, {}, at the desk"],
+        "address": ["we moved! {}, come by", "pick me up at {}, <P>", "Wir wohnen jetzt {}", "mieszkam przy {}", "nouvelle adresse : {}", "vivo en {} desde ayer", "mudei para {} ontem", "живу теперь: {}", "party at {} tonight", "garage sale, {} from nine", "dropping the keys at {} later", "power is out around {}", "parcel still at {} according to the app", "{} önünde buluşalım"],
+    }
+    make = {"name": name, "email": mail, "phone": phone, "identity": identity, "address": address}
+    d = digits
+
+    prefixes = sorted({p.split()[0] for p in places if " " in p}) or ["New"]
+
+    def town() -> str:
+        """A place that no list names; many end like a family name."""
+        made = pick(stems) + pick(["", "da", "gor", "li", "ber", "men"]) + pick("insky sky hausen mark ovsk stein feld berg holt rova vin ary evo ford".split())
+        return f"{pick(prefixes)} {made}" if r.random() < 0.5 else made
+
+    def harmless() -> str:
+        s, c = pick(streets), pick(places) if r.random() < 0.6 else town()
+        return pick([
+            f"parcel {d(3)}-{d(2)}-{d(4)} is stuck in {c} since monday", f"parcel {d(3)}-{d(2)}-{d(4)} is late", f"order no. {d(3)}-{d(2)}-{d(5)} still says shipped", f"order {d(3)}-{d(2)}-{d(4)} still says shipped", f"ref {d(3)}.{d(3)}.{d(2)} in the catalogue, shelf {d(2)}",
+            f"version {d(2)}.{d(2)}.{d(3)} broke the map again", f"{d(4)} {d(4)} steps, my watch says", f"lottery numbers {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}, none of mine", f"flight {letters(2)} {d(4)} to {c} boards at gate {d(2)}",
+            f"ticket {letters(2)}{d(7)} scanned, seat {d(2)}", f"ticket {letters(2)}{d(3)} scanned, seat {d(2)}", f"model {letters(1)}-{d(7)}-{letters(1)} of that old radio", f"order ref {d(4)} {d(4)} {d(3)} is on its way", f"tomatoes 3@{d(1)}.50 at the pier, deal", f"see you @ {d(1)}.{d(2)} near the pier", f"sos look@this view over {c}",
+            f"bus {d(3)} skips {s} Road again", f"bus {d(3)} skips {s} Street again", f"{s} Street is closed until autumn", f"{d(2)} street musicians and not one in tune", f"follow @{s}_daily for delays", f"we are at {d(2)}.{d(4)}, -{d(2)}.{d(4)} if the map is right", f"party at {s} Street tonight", f"lines are down in {c}",
+            f"May Day in {c}, everything closed", f"Rose Garden in {c} opens in may", f"Mark my words: {c} wins 3-0", "Grace Period is a terrible band name", f"Hunter Valley {s} Lane view, wow", f"congrats {c} on the new tram!", f"{pick(given)} {pick(['Garden', 'Day', 'Period', 'Valley', 'Station', 'Bridge', 'morning'])} in {c}", f"{pick(given).lower()} morning in {c}, will walk",
+            "saw Old Town and New Bridge, both at 86 percent humidity", f"avec vue sur {c}", f"dinner with view in {c}", "photo by the harbour, as usual", f"Sunset over {c} tonight, no filter", f"If you are ever in {c} ask for the station", f"between {c} and {pick(places)}", f"Train {d(3)} to {c} cancelled again", f"{c} ile {pick(places)} arası 32 saat sürüyor",
+            f"doors open {d(2)}:{d(2)}, close {d(2)}:{d(2)}", f"paid {d(1)}.{d(3)},{d(2)} for a tram pass", f"final score {d(3)} : {d(3)}", "call 112 in emergencies they said", f"at the station {pick(given)} {pick('was is went says took'.split())} late", f"{pick(given).lower()} {pick('be come go see my'.split())} there soon", f"Entre {c} y la costa hay {d(2)} km", f"Entre {c} et {town()}, {d(2)} virages", f"До {c} ещё {d(2)} километров", f"Zwischen {c} und {town()} gibt es nichts", f"Back home in {c} after {d(2)} days", f"Checked in at the park, {d(2)} metres above {c}", f"Her train to {c} left", f"Quelqu’un connaît {c}", f"Missing the pier back in {c} so much", f"{c} in the rain is lovely", f"Moving to {c} next month", f"Whoever left {c}", f"Why is every park in {c} closed", f"Где {c}", f"Kışın {c} çok soğuk olur", f"Ścieżka do {c} ma zakręty", f"Qué bonita se ve {c}", f"O mapa mostra {c}", f"@{pick(given).lower()}{d(3)} @{pick(given).lower()}{d(2)} {d(3)} kişi bekliyor",
+        ])
+
+    def written(kind: str) -> tuple[str, list[tuple[int, int, str]]]:
+        frame, detail = pick(frames[kind]).replace("<P>", pick(places)), make[kind]()
+        at = frame.index("{}")
+        return frame.replace("{}", detail), [(at, at + len(detail), kind)]
+
+    out = []
+    for _ in range(n):
+        text, spans = (f"@{pick(given).lower()}{d(3)} " if r.random() < 0.25 else ""), []
+        for k in range(r.choice([1, 1, 2, 3])):
+            part, found = written(pick(KINDS)) if r.random() < 0.5 else (harmless(), [])
+            text += pick([". ", " — ", " // ", "\n", " "]) if k else ""
+            spans += [(a + len(text), e + len(text), kind) for a, e, kind in found]
+            text += part
+        out.append((text, spans))
+    return out
+
+
+class Selector:
+    """Trees and thresholds over a finder's spans."""
+
+    def __init__(self, given: list[str], places: list[str], sample: int = SAMPLE) -> None:
+        self.finder = Finder(given, places)
+        rows, truth, kinds, part = [], [], [], []
+        for i, (text, spans) in enumerate(labelled(given, places, sample)):
+            true = {*spans}
+            for span in self.finder.spans(text):
+                kind = FORMATS[span[2]][0] if span[2] < NAME_FORMAT else "name"
+                rows.append(self.finder.features(text, span))
+                truth.append((span[0], span[1], kind) in true)
+                kinds.append(KINDS.index(kind))
+                part.append(i % 3 == 0)
+        x, y, kinds, held = np.array(rows, dtype=np.int64), np.array(truth, dtype=float), np.array(kinds), np.array(part)
+        self.trees, self.threshold = [], []
+        for k in range(len(KINDS)):
+            mine = kinds == k
+            trees = Boosted().fit(x[mine & ~held], y[mine & ~held])
+            self.trees.append(trees)
+            self.threshold.append(calibrated_threshold(trees.score(x[mine & held]), y[mine & held]))
+
+    def select(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+        """Of each text the selected details (start, end, kind), in order, without overlap."""
+        owner, spans, rows, kinds = [], [], [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            for span in self.finder.spans(text):
+                owner.append(i)
+                spans.append(span)
+                kinds.append(KINDS.index(FORMATS[span[2]][0]) if span[2] < NAME_FORMAT else 4)
+                rows.append(self.finder.features(text, span))
+        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        if not rows:
+            return out
+        x, kind = np.array(rows, dtype=np.int64), np.array(kinds)
+        over = np.empty(len(rows))
+        for k, trees in enumerate(self.trees):
+            mine = kind == k
+            if mine.any():
+                over[mine] = trees.score(x[mine]) - self.threshold[k]
+        chosen: dict[int, list[tuple[int, int, str]]] = {}
+        order = sorted((j for j in range(len(rows)) if over[j] > 0), key=lambda j: (-round(float(over[j]), 1), spans[j][0] - spans[j][1], spans[j][0]))
+        for j in order:
+            a, e = spans[j][:2]
+            mine = chosen.setdefault(owner[j], [])
+            if all(e <= b or a >= c for b, c, _ in mine):
+                mine.append((a, e, KINDS[kind[j]]))
+        for i, found in chosen.items():
+            out[i] = sorted(found)
+        return out
+
+
+def redact(text: str, found: list[tuple[int, int, str]]) -> str:
+    """``text`` with each detail replaced by a placeholder such as ``[PHONE]``."""
+    at, parts = 0, []
+    for a, e, kind in found:
+        parts += [text[at:a], f"[{kind.upper()}]"]
+        at = e
+    return "".join([*parts, text[at:]])
+
+
+def fitted(spark: SparkSession, names: DataFrame, places: DataFrame, most: int = 50_000):
+    """The selector as a broadcast; both reference lists must be small, which is checked."""
+    given = [r[0] for r in names.select("name").where("name IS NOT NULL").distinct().limit(most + 1).collect()]
+    known = [x for r in places.select("city", "region", "country").distinct().limit(most + 1).collect() for x in r if x]
+    if max(len(given), len(known)) > 3 * most:
+        raise ValueError(f"the lists of names and places may have {most} entries")
+    return spark.sparkContext.broadcast(Selector(given, sorted({*known})))
+
+
+def find_details(texts: DataFrame, key: str, text: str, names: DataFrame, places: DataFrame) -> DataFrame:
+    """``key, kind, found``: one row for each detail as it stands in the text, repeats included."""
+    shared = fitted(texts.sparkSession, names, places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        selector = shared.value
+        for batch in batches:
+            values = batch.column(1).to_pylist()
+            at, kinds, found = [], [], []
+            for i, spans in enumerate(selector.select(values)):
+                for a, e, kind in spans:
+                    at.append(i)
+                    kinds.append(kind)
+                    found.append(values[i][a:e])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=[key, "kind", "found"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, kind string, found string")
+
+
+def redact_texts(texts: DataFrame, key: str, text: str, names: DataFrame, places: DataFrame) -> DataFrame:
+    """``key, redacted, details``: every text with its details replaced; null stays null."""
+    shared = fitted(texts.sparkSession, names, places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        selector = shared.value
+        for batch in batches:
+            values = batch.column(1).to_pylist()
+            found = selector.select(values)
+            clean = [None if t is None else redact(t, f) for t, f in zip(values, found)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string()), pa.array([len(f) for f in found], pa.int32())], names=[key, "redacted", "details"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, redacted string, details int")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canonical, encoding, garbled, packing, splits
+from . import canonical, encoding, garbled, packing, personal, splits
 
 CAPACITY = 2048
 
@@ -20,6 +20,15 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "tokens", CAPACITY).select("doc_id", "part", F.col("size").alias("tokens"), F.col("container").alias("container_id"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    posts = table(spark, d, "posts").where("id IS NOT NULL AND text IS NOT NULL")
+    return personal.find_details(posts, "id", "text", table(spark, d, "given_names"), table(spark, d, "gazetteer")).distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redact_texts(table(spark, d, "posts"), "delivery_id", "text", table(spark, d, "given_names"), table(spark, d, "gazetteer"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     posts = table(spark, d, "posts").where("id IS NOT NULL").where(F.col("location").rlike(r"(?U)\S"))
     first = posts.groupBy("id").agg(F.min_by("location", "delivery_id").alias("location"))
@@ -48,6 +57,8 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
