@@ -26,7 +26,7 @@ def great_circle_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Co
     """Great-circle distance in metres on a sphere of radius 6,371 km (haversine)."""
     a = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
     h = a[0] * a[0] + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * a[1] * a[1]
-    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))
 
 
 def valid_point(values: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import training_queries
+from . import reference_queries, training_queries
 
-FLAGSHIP = "p5_found"
-MODULES = (training_queries,)
+FLAGSHIP = "spatial_label_propagation"
+MODULES = (training_queries, reference_queries)
 
 
 def queries() -> dict:
