@@ -106,7 +106,14 @@ class Gazetteer:
                     self.entries_of[t].add(e)
         total = len(self.names) + 1
         self.idf = {t: math.log(total / n) + 0.2 for t, n in count.items()}
-        self.frequent = [t for t, n in count.items() if n >= 5 and len(t) > 2]  # Saint, Port and the like
+        self.core: dict[str, set[int]] = defaultdict(set)  # entries by the tokens that carry their name, not by Saint and the like
+        for e, spelled in enumerate(self.names):
+            for n in spelled:
+                most = max(self.idf[t] for t in n)
+                for t in n:
+                    if self.idf[t] >= 0.6 * most:
+                        self.core[t].add(e)
+        self.leading = {n[0] for spelled in self.names for n in spelled if len(n) > 1 and len(n[0]) > 2}  # Saint, Port and the like
         self.index: dict[str, list[str]] = defaultdict(list)
         for t in {*self.entries_of, *self.geo}:
             for v in deletions(t, allowed(len(t))):
@@ -129,7 +136,7 @@ class Gazetteer:
             return known
         found: dict[str, float] = {}
         if len(token) <= 2:  # St, Mt, S: the first letter, or the first and the last
-            found = {t: 0.95 for t in self.frequent if t[0] == token[0] and (len(token) == 1 or t[-1] == token[1])}
+            found = {t: 0.95 for t in self.leading if t[0] == token[0] and (len(token) == 1 or t[-1] == token[1])}
         else:
             for t in {t for v in deletions(token, allowed(len(token) + 1)) for t in self.index.get(v, ())}:
                 limit = allowed(max(len(t), len(token)))
@@ -172,7 +179,7 @@ class Gazetteer:
                 if s > 0:
                     geo[key] = s
         codes = [c for t in tokens[1:] if t in self.codes for c in self.codes[t]]
-        candidates = {e for t in best for e in self.entries_of.get(t, ()) if self.idf[t] > 2.5}
+        candidates = {e for t in best for e in self.core.get(t, ())}
         ranked = []
         for e in candidates:
             name_score, around = 0.0, {("region", self.region[e]), ("country", self.country[e])}
