@@ -102,7 +102,7 @@ def medoids(points: DataFrame, key: str, *, kind: str = "haversine", near_km: fl
 
 def _large_medoids(points: DataFrame, key: str, kind: str, near_km: float, width: int = 64) -> DataFrame:
     """The medoids of few very large groups: in each round, the exact cost of the ``width`` most promising members of each group."""
-    spread = points.repartition()  # rows of one group lie in many tasks
+    spread = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ord")  # rows of one group lie in many tasks
     state = cut(spread.withColumn("bound", F.lit(0.0)))
     every = state.drop("bound")
     totals = {r[0]: r[1] for r in every.groupBy(key).agg(F.sum("weight")).collect()}
@@ -149,8 +149,8 @@ def upper_median(df: DataFrame, key: str | None, value: str, name: str) -> DataF
 def modes(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``key``, the most frequent combination of ``columns`` and its count as ``votes``; ties go to the smallest combination."""
     counts = df.groupBy(key, *columns).agg(F.count(F.lit(1)).alias("votes"))
-    best = F.min(F.struct((-F.col("votes")).alias("v"), *columns)).alias("b")
-    return counts.groupBy(key).agg(best).select(key, *[F.col(f"b.{c}") for c in columns], (-F.col("b.v")).cast("bigint").alias("votes"))
+    best = F.min(F.struct((-F.col("votes")).alias("__v"), *columns)).alias("b")
+    return counts.groupBy(key).agg(best).select(key, *[F.col(f"b.{c}") for c in columns], (-F.col("b.__v")).cast("bigint").alias("votes"))
 
 
 def centroids(df: DataFrame, key: str, least: int = 1) -> DataFrame:

@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 
 from .skew import SALT, heavy_candidates, with_salt
 
+FIRST = "__is_first"
+
 
 def ranked(df: DataFrame, key: str, order: list[str], *, salts: int = 64, support: float = 0.002) -> DataFrame:
-    """The rows with a non-null ``key``, with ``is_first``: whether the row is the first of its key by ``order``."""
+    """The rows with a non-null ``key``, with the column ``FIRST``: whether the row is the first of its key by ``order``."""
     rows = df.where(F.col(f"`{key}`").isNotNull())
     heavy = heavy_candidates(rows, key, support)
     salted = with_salt(rows, key, heavy, salts, order)
     within = Window.partitionBy(f"`{key}`", SALT).orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in order])
     local = salted.withColumn("__rank", F.row_number().over(within))
     if not heavy:
-        return local.withColumn("is_first", F.col("__rank") == 1).drop("__rank", SALT)
+        return local.withColumn(FIRST, F.col("__rank") == 1).drop("__rank", SALT)
     arrival = F.struct(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in order])
     firsts = (
         salted.where(F.col(f"`{key}`").isin(heavy)).groupBy(F.col(f"`{key}`").alias("__key"), SALT).agg(F.min(arrival).alias("__a"))
@@ -32,17 +34,17 @@ def ranked(df: DataFrame, key: str, order: list[str], *, salts: int = 64, suppor
     )
     out = local.join(F.broadcast(firsts), F.col(f"`{key}`") == F.col("__key"), "left")
     first = (F.col("__rank") == 1) & (F.col("__first").isNull() | (F.col("__first") == arrival))
-    return out.withColumn("is_first", first).drop("__rank", "__key", "__first", SALT)
+    return out.withColumn(FIRST, first).drop("__rank", "__key", "__first", SALT)
 
 
 def excess_deliveries(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Every row with a non-null ``key`` except the first of that key."""
-    return ranked(df, key, order).where(~F.col("is_first")).drop("is_first")
+    return ranked(df, key, order).where(~F.col(FIRST)).drop(FIRST)
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each non-null ``key``."""
-    return ranked(df, key, order).where("is_first").drop("is_first")
+    return ranked(df, key, order).where(F.col(FIRST)).drop(FIRST)
 
 
 def new_messages(batch: DataFrame, stored: DataFrame, key: str, order: list[str]) -> DataFrame:

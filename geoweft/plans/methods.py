@@ -216,12 +216,15 @@ def city_classifier(features: DataFrame, cities: DataFrame, most_features: int =
     to_vector = F.udf(lambda pairs: SparseVector(size, sorted((int(f), float(v)) for f, v in pairs)), VectorUDT())
     rows = features.where("value <> 0").groupBy("user_id").agg(to_vector(F.collect_list(F.struct("feature", "value"))).alias("raw"))
     rows = StandardScaler(inputCol="raw", outputCol="features", withMean=False).fit(rows).transform(rows)
-    train = cut(rows.join(cities.select("user_id", F.col("city").cast("double").alias("label")), "user_id").select("features", "label"))
-    if train.agg(F.count_distinct("label")).head()[0] < 2:
+    train = cut(rows.join(cities.select("user_id", "city"), "user_id").select("features", "city"))
+    classes = sorted(r[0] for r in train.select("city").distinct().collect())  # bounded by the size check above
+    if len(classes) < 2:
         return cities.limit(0).select("user_id", "lat", "lon")
-    model = OneVsRest(classifier=LinearSVC(maxIter=20, tol=1e-2)).fit(train)
+    labels = rows.sparkSession.createDataFrame([(float(i), c) for i, c in enumerate(classes)], "label double, city bigint")
+    model = OneVsRest(classifier=LinearSVC(maxIter=20, tol=1e-2)).fit(train.join(labels, "city").select("features", "label"))
     asked = rows.join(cities.select("user_id"), "user_id", "left_anti")
-    return model.transform(asked).select("user_id", F.col("prediction").cast("bigint").alias("city")).join(points, "city").select("user_id", "lat", "lon")
+    guessed = model.transform(asked).select("user_id", F.col("prediction").alias("label")).join(labels, "label")
+    return guessed.join(points, "city").select("user_id", "lat", "lon")
 
 
 def random_pairs(located: DataFrame, draws: int) -> DataFrame:
