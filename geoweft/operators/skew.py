@@ -70,7 +70,7 @@ def salted_aggregate(
             merge.append(getattr(F, kind)(f"{name}__v").alias(name))
         elif kind == "avg":
             partial += [F.sum(value).alias(f"{name}__v"), F.count(value).alias(f"{name}__n")]
-            merge.append((F.sum(f"{name}__v") / F.sum(f"{name}__n")).alias(name))
+            merge.append(F.try_divide(F.sum(f"{name}__v"), F.sum(f"{name}__n")).alias(name))
         elif kind == "count_distinct":
             distinct[name] = str(column)
         else:
@@ -95,7 +95,7 @@ def keys_by_share(df: DataFrame, key: str, share: float, *, salt_on: list[str] |
 
 
 def skew_safe_join(left: DataFrame, right: DataFrame, key: str, support: float = 0.005) -> DataFrame:
-    """Inner join with a ``right`` that holds each key once; rows of heavy left keys never meet in one task.
+    """Inner join with a ``right`` that holds each key once; rows of heavy left keys never meet in one task. Null keys match nothing.
 
     The right rows of the heavy keys number at most ``1 / support``, so these are broadcast; all others are shuffled.
     """
@@ -104,3 +104,13 @@ def skew_safe_join(left: DataFrame, right: DataFrame, key: str, support: float =
         return left.join(right, key)
     rest = left.where(~F.col(key).isin(heavy)).join(right.where(~F.col(key).isin(heavy)), key)
     return rest.unionByName(left.where(F.col(key).isin(heavy)).join(F.broadcast(right.where(F.col(key).isin(heavy))), key))
+
+
+def skew_safe_left(left: DataFrame, right: DataFrame, key: str, support: float = 0.005) -> DataFrame:
+    """Left join with a ``right`` that holds each key once, as :func:`skew_safe_join`; rows with a null key stay, unmatched."""
+    heavy = heavy_candidates(left, key, support)
+    if not heavy:
+        return left.join(right, key, "left")
+    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    rest = left.where(~is_heavy).join(right.where(~is_heavy), key, "left")
+    return rest.unionByName(left.where(is_heavy).join(F.broadcast(right.where(is_heavy)), key, "left"))

@@ -276,7 +276,7 @@ def geocode_exact(spark, d):
 
 
 def geocode_noisy(spark, d):
-    codes = {r["abbreviation"]: r["name"] for r in table(spark, d, "region_codes").where("abbreviation IS NOT NULL AND name IS NOT NULL").limit(10_000).collect()}
+    codes = {r["abbreviation"]: r["name"] for r in table(spark, d, "region_codes").where("abbreviation IS NOT NULL AND name IS NOT NULL").collect()}
     return gazetteer.geocode_noisy(first_posts(spark, d, "location"), "id", "location", gazetteer.names(places(spark, d)), codes)
 
 

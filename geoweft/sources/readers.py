@@ -95,7 +95,9 @@ def read_gazetteer(spark: SparkSession, path: str, source: str = "geonames") ->
 
 def read_abbreviations(spark: SparkSession, path: str) -> dict[str, str]:
     """Abbreviation to name; blank abbreviations drop out. The file is a short list."""
-    rows = spark.read.option("header", True).csv(path).select("abbreviation", "name").where("trim(abbreviation) <> ''").limit(100_000).collect()
+    rows = spark.read.option("header", True).csv(path).select("abbreviation", "name").where("trim(abbreviation) <> ''").limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("the list of abbreviations is too long for one map")
     return {r["abbreviation"].strip(): r["name"] for r in rows}
 
 
