@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import heavy_candidates, skew_safe_join
+from ..operators.skew import skew_safe_join, skew_safe_left
 from ..session import cut
 
 ANONYMOUS = "record:"
@@ -70,12 +70,3 @@ def assign_splits(records: DataFrame, owner: str, record: str, items: Column, we
     owned = skew_safe_left(nodes.select(record, owner, "node"), found.select("node", "component"), "node")
     out = owned.withColumn("component", F.coalesce("component", "node"))
     return out.select(record, owner, "component", rendezvous(F.col("component"), weights, seed).alias("split"))
-
-
-def skew_safe_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join with a ``right`` that holds each key once; heavy left keys meet broadcast rows only."""
-    heavy = heavy_candidates(left, key)
-    if not heavy:
-        return left.join(right, key, "left")
-    rest = left.where(~F.col(key).isin(heavy)).join(right.where(~F.col(key).isin(heavy)), key, "left")
-    return rest.unionByName(left.where(F.col(key).isin(heavy)).join(F.broadcast(right.where(F.col(key).isin(heavy))), key, "left"))
