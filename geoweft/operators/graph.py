@@ -52,10 +52,11 @@ def degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("user_id")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """(src, dst, common): the number of common neighbours of each edge of an undirected graph.
+def triangle_list(edges: DataFrame) -> DataFrame:
+    """(x, y, z): each triangle of an undirected graph once.
 
-    Each triangle is found once, at the end of lowest degree, so a hub is never paired with itself.
+    A triangle is found at its end of lowest degree: every edge points to the end of higher degree, so a
+    hub has few outgoing edges and is never paired with itself.
     """
     edges = edges.select("src", "dst").where("src <> dst").distinct()
     degrees = degree(edges)
@@ -63,11 +64,15 @@ def triangles(edges: DataFrame) -> DataFrame:
     ranked = skew_safe_join(ranked.withColumnRenamed("src", "user_id"), degrees, "user_id").select(F.col("user_id").alias("src"), "dst", "dd", F.col("degree").alias("sd"))
     out = ranked.where("sd < dd OR (sd = dd AND src < dst)").select("src", "dst")
     wedge = out.alias("a").join(out.alias("b"), F.col("a.src") == F.col("b.src")).where("a.dst < b.dst").select(F.col("a.src").alias("x"), F.col("a.dst").alias("y"), F.col("b.dst").alias("z"))
-    closing = edges.where("src < dst").select(F.col("src").alias("y"), F.col("dst").alias("z"))
-    found = wedge.join(closing, ["y", "z"])
+    return wedge.join(edges.where("src < dst").select(F.col("src").alias("y"), F.col("dst").alias("z")), ["y", "z"])
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(src, dst, common): the number of common neighbours of each edge of an undirected graph."""
     ways = F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in ("xy", "yx", "xz", "zx", "yz", "zy")])
-    counts = found.select(F.explode(ways).alias("e")).groupBy("e.src", "e.dst").agg(F.count(F.lit(1)).alias("common"))
-    return edges.join(counts, ["src", "dst"], "left").select("src", "dst", F.coalesce("common", F.lit(0)).cast("bigint").alias("common"))
+    counts = triangle_list(edges).select(F.explode(ways).alias("e")).groupBy("e.src", "e.dst").agg(F.count(F.lit(1)).alias("common"))
+    ends = edges.select("src", "dst").where("src <> dst").distinct()
+    return ends.join(counts, ["src", "dst"], "left").select("src", "dst", F.coalesce("common", F.lit(0)).cast("bigint").alias("common"))
 
 
 def neighbours(edges: DataFrame, located: DataFrame) -> DataFrame:

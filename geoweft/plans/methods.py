@@ -19,7 +19,7 @@ from ..functions.geo import MILES_PER_KM, haversine_km, np_haversine_km, round_h
 from ..operators.aggregates import by_group, medoids, modes, quantile_bounds
 from ..operators.datasets import global_index, top_per_key
 from ..operators.gazetteer import TAB, canonicalize, geocode, geocode_noisy, names
-from ..operators.graph import degree, neighbours, reciprocal, triangles
+from ..operators.graph import degree, neighbours, reciprocal, triangle_list, triangles
 from ..operators.toponyms import toponyms
 from ..session import cut
 
@@ -190,8 +190,9 @@ def city_features(edges: DataFrame, directed: DataFrame, cities: DataFrame) -> D
     friends = cut(edges.join(where, "dst").select("src", "dst", "city"))
     back = reciprocal(directed).where("src <> dst").select("src", "dst").withColumn("both", F.lit(1))
     counts = friends.join(back, ["src", "dst"], "left").groupBy("src", "city").agg(F.count(F.lit(1)).alias("n"), F.count("both").alias("r"))
-    same = edges.join(cities.select(F.col("user_id").alias("src"), F.col("city").alias("c1")), "src").join(where.withColumnRenamed("city", "c2"), "dst").where("c1 = c2").select(F.col("src").alias("dst"), F.col("dst").alias("third"))
-    inner = friends.join(same, "dst").join(friends.select("src", F.col("dst").alias("third")), ["src", "third"]).groupBy("src", "city", "dst").agg(F.count(F.lit(1)).alias("t"))
+    ways = F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.col(c).alias("third")) for a, b, c in ("xyz", "xzy", "yxz", "yzx", "zxy", "zyx")])
+    triads = triangle_list(edges).select(F.explode(ways).alias("t")).select("t.*").join(where, "dst")
+    inner = triads.join(where.select(F.col("dst").alias("third"), "city"), ["third", "city"]).groupBy("src", "city", "dst").agg(F.count(F.lit(1)).alias("t"))
     bins = friends.join(inner, ["src", "city", "dst"], "left").select("src", "city", triad_bin(F.coalesce("t", F.lit(0))).alias("b"))
     shares = bins.groupBy("src", "city", "b").agg(F.count(F.lit(1)).alias("n")).join(degree(edges).select(F.col("user_id").alias("src"), "degree"), "src")
     base = F.col("city") * 7
