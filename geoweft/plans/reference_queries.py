@@ -421,6 +421,13 @@ def cross_validate(spark, d):
     return evaluation.cross_validate(gold, home, gold.select("post_id", "user_id"), method, [0, 1])
 
 
+def cross_validate_whole(spark, d):
+    """All folds, the method with its own rounds and distance; without SQL."""
+    gold = cut(datasets.assign_folds(gold_posts(spark, d), FOLDS))
+    edges, home = cut(ties(spark, d)), cut(homes(spark, d))
+    return evaluation.cross_validate(gold, home, gold.select("post_id", "user_id"), lambda h: methods.spatial_label_propagation(edges, h), list(range(FOLDS)))
+
+
 def home_locations(spark, d):
     return evaluation.home_locations(_user_points(spark, d).drop("weight"), "haversine")
 
@@ -434,7 +441,7 @@ closeness_distance_table error_cdf error_auc quantile_bounds gazetteer_names una
 reverse_geocode canonicalize constant_baseline random_neighbor spatial_label_propagation spatial_label_propagation_ellipsoid
 total_variation gold_locations friend_vote social_tightness social_energy city_features city_classifier tie_strength multi_location
 influence_profiling toponym_scan toponym_ngrams tokenize squash_text prediction_errors coverage median_max_error
-median_median_error error_sample score_report validate_dist validate_name cross_validate home_locations
+median_median_error error_sample score_report validate_dist validate_name cross_validate cross_validate_whole home_locations
 """.split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoweft.functions import curves, geo, text
 from geoweft.operators import aggregates, datasets, gazetteer, graph, toponyms
-from geoweft.plans import evaluation, methods
+from geoweft.plans import evaluation, methods, reference_queries
 
 POINTS = "user_id bigint, ord bigint, lat double, lon double, weight double"
 LOC = "user_id bigint, lat double, lon double"
@@ -271,3 +271,13 @@ def test_cross_validation_never_sees_held_out_homes(spark):
     seen = []
     out = evaluation.cross_validate(gold, home, gold.select("post_id", "user_id"), lambda h: (seen.append({r[0] for r in h.select("user_id").collect()}), h)[1], [0, 1])
     assert out.count() == 0 and seen == [{1, 3}, {2, 4}]
+
+
+def test_whole_cross_validation_holds_out_every_fold(spark, monkeypatch):
+    home = {u: (float(u), float(u)) for u in range(1, 11)}  # a chain of 13 users, the last three without a home
+    gold = spark.createDataFrame([(u * 10, u, 0.0, 0.0) for u in range(1, 14)], "post_id bigint, user_id bigint, lat double, lon double")
+    monkeypatch.setattr(reference_queries, "gold_posts", lambda s, d: gold)
+    monkeypatch.setattr(reference_queries, "ties", lambda s, d: both_ways(spark, [(u, u + 1) for u in range(1, 13)]))
+    monkeypatch.setattr(reference_queries, "homes", lambda s, d: spark.createDataFrame([(u, *p) for u, p in home.items()], LOC))
+    got = {r["user_id"]: (r["fold"], r["post_id"], r["lat"], r["lon"]) for r in reference_queries.QUERIES["cross_validate_whole"](spark, "").collect()}
+    assert got == {u: ((u - 1) % 5, u * 10, *home[min(u - 1, 10) or 2]) for u in range(1, 14)}
