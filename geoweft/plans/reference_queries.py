@@ -311,6 +311,14 @@ def total_variation(spark, d):
     return methods.total_variation(cut(ties(spark, d)), homes(spark, d), 2, 2000.0, "haversine")
 
 
+def random_neighbor_whole(spark, d):
+    return methods.random_neighbor(cut(ties(spark, d)), homes(spark, d))
+
+
+def total_variation_whole(spark, d):
+    return methods.total_variation(cut(ties(spark, d)), homes(spark, d))
+
+
 def gold_locations(spark, d):
     return methods.gold_locations(table(spark, d, "posts"), ties(spark, d).select(F.col("src").alias("user_id")), places(spark, d), homes(spark, d))
 
@@ -324,6 +332,10 @@ def social_tightness(spark, d):
     return methods.social_tightness(cut(ties(spark, d)), homes(spark, d), 1)
 
 
+def social_tightness_whole(spark, d):
+    return methods.social_tightness(cut(ties(spark, d)), homes(spark, d))
+
+
 def social_energy(spark, d):
     return methods.social_energy(cut(ties(spark, d)), homes(spark, d))
 
@@ -356,6 +368,11 @@ def influence_profiling(spark, d):
     return out.select("user_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+def influence_profiling_whole(spark, d):
+    out = methods.influence_profiling(cut(ties(spark, d)), homes(spark, d))
+    return out.select("user_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
 # Texts
 
 
@@ -438,9 +455,9 @@ social_triangles users_in_network clustering_coefficient posts_to_users last_n_p
 infer_by_post infer_by_user haversine_pairs vincenty_pairs known_distance valid_coord wrap_coord round_half_up bins curve_form
 parsed_coordinates geometric_median weighted_median_dispersion upper_median mode_location centroid pair_distance_hist
 closeness_distance_table error_cdf error_auc quantile_bounds gazetteer_names unambiguous_cities geocode_exact geocode_noisy
-reverse_geocode canonicalize constant_baseline random_neighbor spatial_label_propagation spatial_label_propagation_ellipsoid
-total_variation gold_locations friend_vote social_tightness social_energy city_features city_classifier tie_strength multi_location
-influence_profiling toponym_scan toponym_ngrams tokenize squash_text prediction_errors coverage median_max_error
+reverse_geocode canonicalize constant_baseline random_neighbor random_neighbor_whole spatial_label_propagation spatial_label_propagation_ellipsoid
+total_variation total_variation_whole gold_locations friend_vote social_tightness social_tightness_whole social_energy city_features city_classifier tie_strength multi_location
+influence_profiling influence_profiling_whole toponym_scan toponym_ngrams tokenize squash_text prediction_errors coverage median_max_error
 median_median_error error_sample score_report validate_dist validate_name cross_validate cross_validate_whole home_locations
 """.split()
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -281,3 +281,26 @@ def test_whole_cross_validation_holds_out_every_fold(spark, monkeypatch):
     monkeypatch.setattr(reference_queries, "homes", lambda s, d: spark.createDataFrame([(u, *p) for u, p in home.items()], LOC))
     got = {r["user_id"]: (r["fold"], r["post_id"], r["lat"], r["lon"]) for r in reference_queries.QUERIES["cross_validate_whole"](spark, "").collect()}
     assert got == {u: ((u - 1) % 5, u * 10, *home[min(u - 1, 10) or 2]) for u in range(1, 14)}
+
+
+def test_whole_methods_run_their_own_rounds(spark, monkeypatch):
+    monkeypatch.setattr(reference_queries, "ties", lambda s, d: both_ways(spark, [(u, u + 1) for u in range(1, 8)]))
+    monkeypatch.setattr(reference_queries, "homes", lambda s, d: spark.createDataFrame([(1, 10.0, 20.0)], LOC))
+    for name, rounds in (("random_neighbor_whole", 4), ("total_variation_whole", 4), ("social_tightness_whole", 3), ("spatial_label_propagation_ellipsoid", 5)):
+        assert located(reference_queries.QUERIES[name](spark, "")) == {u: (10.0, 20.0) for u in range(1, rounds + 2)}
+
+
+def test_whole_influence_runs_until_it_converges(spark, monkeypatch):
+    monkeypatch.setattr(reference_queries, "ties", lambda s, d: both_ways(spark, [(1, 3), (2, 3), (3, 4)]))
+    monkeypatch.setattr(reference_queries, "homes", lambda s, d: spark.createDataFrame([(1, 10.0, 20.0), (2, 11.0, 21.0)], LOC))
+    near = {1: [3], 2: [3], 3: [1, 2, 4], 4: [3]}
+    at = {1: (10.0, 20.0), 2: (11.0, 21.0)} | {u: (u * 37 % 1400 / 10 - 70, u * 91 % 3400 / 10 - 170) for u in (3, 4)}
+    for _ in range(5):
+        s = {u: sum((at[v][0] - at[u][0]) ** 2 + (at[v][1] - at[u][1]) ** 2 for v in near[u]) / (2 * len(near[u])) for u in near}
+        new = {u: tuple(sum((1 / s[u] + 1 / s[v]) * at[v][k] for v in near[u]) / sum(1 / s[u] + 1 / s[v] for v in near[u]) for k in (0, 1)) for u in (3, 4)}
+        done = max(abs(new[u][k] - at[u][k]) for u in new for k in (0, 1)) <= 0.1
+        at |= new
+        if done:
+            break
+    got = located(reference_queries.QUERIES["influence_profiling_whole"](spark, ""))
+    assert set(got) == set(at) and all(got[u] == pytest.approx(at[u], abs=1e-5) for u in at)
