@@ -7,10 +7,11 @@ and ends in the shared checkpoint folder. Ties go to the smallest neighbour id.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -246,17 +247,49 @@ def pair_distances(located: DataFrame, draws: int = 10) -> DataFrame:
     return random_pairs(located, draws).groupBy(tenth.alias("miles")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
+MOST_PAIRED = 50_000
+
+
+def paired_users(located: DataFrame) -> DataFrame:
+    """The located users between whom all pairs are counted: all of them, or ``MOST_PAIRED`` by a hash of the id where there are more."""
+    return located.select("user_id", "lat", "lon").orderBy(F.xxhash64("user_id"), "user_id").limit(MOST_PAIRED)
+
+
+def all_pair_distances(users: DataFrame, per_mile: int = 10) -> DataFrame:
+    """(bin, pairs): ordered pairs of different users at each distance in miles times ``per_mile``, rounded. ``users`` is bounded by :func:`paired_users`; no pair is kept."""
+    spark = users.sparkSession
+    points = np.array([(r["lat"], r["lon"]) for r in users.collect()], dtype=float).reshape(-1, 2)
+    shared = spark.sparkContext.broadcast(points)
+    tasks = min(len(points), 48) or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lat, lon = shared.value.T
+        for batch in batches:
+            counts = np.zeros(0, dtype=np.int64)
+            for b in batch.column(0).to_pylist():
+                for i in range(b, len(lat), tasks):  # each user against those behind it
+                    at = np.floor(np_haversine_km(lat[i], lon[i], lat[i + 1 :], lon[i + 1 :]) * MILES_PER_KM * per_mile + 0.5).astype(np.int64)
+                    more = np.bincount(at, minlength=len(counts))
+                    more[: len(counts)] += counts
+                    counts = more
+            bins = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), pa.array(2 * counts[bins], pa.int64())], names=["bin", "pairs"])
+
+    return spark.range(0, tasks, 1, tasks).mapInArrow(run, "bin bigint, pairs bigint").groupBy("bin").agg(F.sum("pairs").alias("pairs"))
+
+
 def tie_features(directed: DataFrame, undirected_edges: DataFrame) -> DataFrame:
     """(src, dst, out_weight, in_weight, common) of each reciprocal tie."""
     ties = reciprocal(directed).where("src <> dst").select("src", "dst", F.col("weight").cast("double").alias("out_weight"), F.col("back").cast("double").alias("in_weight"))
     return ties.join(triangles(undirected_edges), ["src", "dst"], "left").withColumn("common", F.coalesce("common", F.lit(0)).cast("double"))
 
 
-def tie_strength(directed: DataFrame, undirected_edges: DataFrame, home: DataFrame, quantiles: int = 10, min_leaf: int = 1000, draws: int = 10) -> DataFrame:
+def tie_strength(directed: DataFrame, undirected_edges: DataFrame, home: DataFrame, quantiles: int = 10, min_leaf: int = 1000) -> DataFrame:
     """Unlocated users take the neighbour's location that makes their ties likeliest, tie strength told by a regression tree.
 
     The tree predicts a tie's distance from its mentions and common neighbours; in each quantile of the
     prediction, the share of ties against strangers at a distance is the likelihood of that distance.
+    Ties and all ordered pairs are counted between the same users, so every tie that is counted has a share.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
@@ -273,10 +306,13 @@ def tie_strength(directed: DataFrame, undirected_edges: DataFrame, home: DataFra
     part = F.lit(0)
     for b in bounds[1:]:
         part = part + F.when(F.col("p") >= b, 1).otherwise(0)
-    act = {(r["j"], r["m"]): r["n"] for r in seen.groupBy(part.alias("j"), round_half_up(F.col("miles"), 1).alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()}  # distances are tenths of miles up to half the globe: bounded
-    strangers = {r["miles"]: r["pairs"] for r in pair_distances(home, draws).collect()}
-    ratio = {k: v / strangers[k[1]] for k, v in act.items() if strangers.get(k[1])}
-    shared = ties.sparkSession.sparkContext.broadcast({(j, round(m * 10)): float(np.log(v)) for (j, m), v in ratio.items()})
+    paired = cut(paired_users(home))
+    for end in ("src", "dst"):
+        seen = seen.join(paired.select(F.col("user_id").alias(end)), end, "left_semi")
+    tenth = round_half_up(F.col("miles") * 10).cast("bigint")
+    act = {(r["j"], r["m"]): r["n"] for r in seen.groupBy(part.alias("j"), tenth.alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()}  # distances are tenths of miles up to half the globe: bounded
+    strangers = {r["bin"]: r["pairs"] for r in all_pair_distances(paired).collect()}
+    shared = ties.sparkSession.sparkContext.broadcast({k: float(np.log(v / strangers[k[1]])) for k, v in act.items() if strangers.get(k[1])})
     asked = neighbours(_unlocated(predicted.select("src", "dst", F.col("p").alias("weight")), home), home)
     asked = asked.withColumnRenamed("weight", "p").select(F.col("src").alias("user_id"), F.col("dst").alias("ord"), "lat", "lon", part.cast("bigint").alias("j"))
 

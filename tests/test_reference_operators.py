@@ -304,3 +304,21 @@ def test_whole_influence_runs_until_it_converges(spark, monkeypatch):
             break
     got = located(reference_queries.QUERIES["influence_profiling_whole"](spark, ""))
     assert set(got) == set(at) and all(got[u] == pytest.approx(at[u], abs=1e-5) for u in at)
+
+
+def test_all_pairs_equal_brute_force(spark):
+    r = np.random.default_rng(8)
+    at = [(u, float(r.uniform(-80, 80)), float(r.uniform(-170, 170))) for u in range(70)] + [(70, 1.0, 1.0), (71, 1.0, 1.0)]
+    want = {}
+    for a, b in itertools.permutations(at, 2):
+        m = int(np.floor(geo.np_haversine_km(a[1], a[2], b[1], b[2]) * geo.MILES_PER_KM * 10 + 0.5))
+        want[m] = want.get(m, 0) + 1
+    assert {x["bin"]: x["pairs"] for x in methods.all_pair_distances(methods.paired_users(spark.createDataFrame(at, LOC))).collect()} == want
+    assert methods.all_pair_distances(spark.createDataFrame([], LOC)).collect() == []
+
+
+def test_tie_strength_keeps_the_ratio_of_ties_that_draws_miss(spark):
+    r = np.random.default_rng(9)
+    home = [(1, 60.0, 0.0), (2, -40.0, 50.0), (3, -40.0, 50.1), (4, -40.0, 100.0), (5, -40.0, 100.1)] + [(u, float(r.uniform(-30, 50)), float(r.uniform(-170, 170))) for u in range(6, 305)]
+    edges = both_ways(spark, [(4, 5), (900, 1), (900, 2), (900, 3)])  # 2 and 3 are as far apart as the tied 4 and 5; ten draws a user meet neither pair
+    assert located(methods.tie_strength(edges, edges, spark.createDataFrame(home, LOC), quantiles=1, min_leaf=1))[900] == (-40.0, 50.0)
