@@ -19,6 +19,7 @@ from ..functions.curves import city_bin, fit_power_law, power_law, rank_logistic
 from ..functions.geo import MILES_PER_KM, haversine_km, np_haversine_km, round_half_up
 from ..operators.aggregates import by_group, medoids, modes, quantile_bounds
 from ..operators.datasets import global_index, top_per_key
+from ..operators.deliveries import keep_first
 from ..operators.gazetteer import TAB, canonicalize, geocode, geocode_noisy, names
 from ..operators.graph import degree, neighbours, reciprocal, triangle_list, triangles
 from ..operators.toponyms import toponyms
@@ -331,11 +332,12 @@ def tie_strength(directed: DataFrame, undirected_edges: DataFrame, home: DataFra
     return home.select("user_id", "lat", "lon").unionByName(found)
 
 
-def following_coefficients(edges: DataFrame, home: DataFrame, draws: int = 10) -> tuple[float, float]:
-    """(alpha, beta) of the power law: share of located pairs that follow each other, by whole miles up to 10,000."""
+def following_coefficients(edges: DataFrame, home: DataFrame) -> tuple[float, float]:
+    """(alpha, beta) of the power law: share of located pairs that follow each other, by whole miles up to 10,000; ties and all pairs of the same users."""
+    users = cut(paired_users(home))
     miles = round_half_up(F.col("km") * MILES_PER_KM).cast("bigint").alias("m")
-    ties = {r["m"]: r["n"] for r in located_ties(edges.select("src", "dst"), home).groupBy(miles).agg(F.count(F.lit(1)).alias("n")).where("m <= 10000").collect()}
-    pairs = {r["m"]: r["n"] for r in random_pairs(home, draws).groupBy(miles).agg(F.count(F.lit(1)).alias("n")).where("m <= 10000").collect()}
+    ties = {r["m"]: r["n"] for r in located_ties(edges.select("src", "dst"), users).groupBy(miles).agg(F.count(F.lit(1)).alias("n")).where("m <= 10000").collect()}
+    pairs = {r["bin"]: r["pairs"] for r in all_pair_distances(users, 1).where("bin <= 10000").collect()}
     xs = sorted(m for m in ties if m > 0 and pairs.get(m))
     return fit_power_law(xs, [ties[m] / pairs[m] for m in xs])
 
@@ -350,7 +352,7 @@ def venues(posts: DataFrame, places: DataFrame, last: int = 600) -> DataFrame:
 def multi_location(edges: DataFrame, home: DataFrame, alpha: float = -0.55, beta: float = 0.0045, named: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Unlocated users: the neighbour whose own ties are likeliest under the power law, and the best-known place they name, combined by medoid.
 
-    Random choices of the model (random following, random naming) are left out: their selectors are 0 here. Without ``named`` only ties count.
+    Random choices of the model (random following, random naming) are left out: their selectors are 0 here. Without ``named`` only ties count. Only users of the graph are located.
     """
     p = power_law(F.col("km"), alpha, beta)
     odds = F.when((p > 0) & (p < 1), F.log(p / (1 - p))).otherwise(F.lit(0.0))
@@ -359,7 +361,7 @@ def multi_location(edges: DataFrame, home: DataFrame, alpha: float = -0.55, beta
     if named is not None and known is not None:
         psi = named.groupBy("name").agg(F.count(F.lit(1)).alias("psi"))
         best = named.join(psi, "name").join(known, "name").groupBy("user_id").agg(F.min_by(F.struct("lat", "lon"), F.struct(-F.col("psi"), F.col("name"))).alias("p"))
-        best = best.join(home, "user_id", "left_anti").select("user_id", "p.lat", "p.lon", F.lit(1).cast("bigint").alias("ord"))
+        best = best.join(home, "user_id", "left_anti").join(edges.select(F.col("src").alias("user_id")), "user_id", "left_semi").select("user_id", "p.lat", "p.lon", F.lit(1).cast("bigint").alias("ord"))
         found = found.unionByName(best)
     picked = medoids(found.withColumn("weight", F.lit(1.0)), "user_id")
     return home.select("user_id", "lat", "lon").unionByName(picked.select("user_id", "lat", "lon"))
@@ -412,6 +414,12 @@ class Inputs:
     settings: dict = field(default_factory=dict)
 
 
+def texts(posts: DataFrame, places: DataFrame) -> dict[str, DataFrame]:
+    """What multi-location and influence profiling read of the posts (as delivered): the places that users name, and where these are."""
+    once = keep_first(posts.select("id", "delivery_id", "user_id", "text").where("id IS NOT NULL"), "id", ["delivery_id"])
+    return {"named": cut(venues(once, places)), "known": cut(names(places))}
+
+
 METHODS: dict[str, Callable[[Inputs], DataFrame]] = {
     "constant_baseline": lambda x: constant_baseline(x.edges.select(F.col("src").alias("user_id")), **x.settings),
     "random_neighbor": lambda x: random_neighbor(x.edges, x.home, **x.settings),
@@ -422,8 +430,8 @@ METHODS: dict[str, Callable[[Inputs], DataFrame]] = {
     "social_tightness": lambda x: social_tightness(x.edges, x.home, **x.settings),
     "social_energy": lambda x: social_energy(x.edges, x.home, **x.settings),
     "city_classifier": lambda x: city_classifier(city_features(x.edges, x.directed, c := cut(city_homes(x.home, x.places, **x.settings))), c),
-    "multi_location": lambda x: multi_location(x.edges, x.home, **x.settings),
-    "influence_profiling": lambda x: influence_profiling(x.edges, x.home, **x.settings),
+    "multi_location": lambda x: multi_location(x.edges, x.home, **dict(zip(("alpha", "beta"), following_coefficients(x.edges, x.home))) | texts(x.posts, x.places) | x.settings),
+    "influence_profiling": lambda x: influence_profiling(x.edges, x.home, **texts(x.posts, x.places) | x.settings),
 }
 
 

@@ -368,8 +368,13 @@ def influence_profiling(spark, d):
     return out.select("user_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+def multi_location_whole(spark, d):
+    edges, home = cut(ties(spark, d)), cut(homes(spark, d))
+    return methods.multi_location(edges, home, *methods.following_coefficients(edges, home), **methods.texts(table(spark, d, "posts"), places(spark, d)))
+
+
 def influence_profiling_whole(spark, d):
-    out = methods.influence_profiling(cut(ties(spark, d)), homes(spark, d))
+    out = methods.influence_profiling(cut(ties(spark, d)), homes(spark, d), **methods.texts(table(spark, d, "posts"), places(spark, d)))
     return out.select("user_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
@@ -456,7 +461,7 @@ infer_by_post infer_by_user haversine_pairs vincenty_pairs known_distance valid_
 parsed_coordinates geometric_median weighted_median_dispersion upper_median mode_location centroid pair_distance_hist
 closeness_distance_table error_cdf error_auc quantile_bounds gazetteer_names unambiguous_cities geocode_exact geocode_noisy
 reverse_geocode canonicalize constant_baseline random_neighbor random_neighbor_whole spatial_label_propagation spatial_label_propagation_ellipsoid
-total_variation total_variation_whole gold_locations friend_vote social_tightness social_tightness_whole social_energy city_features city_classifier tie_strength multi_location
+total_variation total_variation_whole gold_locations friend_vote social_tightness social_tightness_whole social_energy city_features city_classifier tie_strength multi_location multi_location_whole
 influence_profiling influence_profiling_whole toponym_scan toponym_ngrams tokenize squash_text prediction_errors coverage median_max_error
 median_median_error error_sample score_report validate_dist validate_name cross_validate cross_validate_whole home_locations
 """.split()

@@ -13,6 +13,7 @@ from geoweft.plans import evaluation, methods, reference_queries
 
 POINTS = "user_id bigint, ord bigint, lat double, lon double, weight double"
 LOC = "user_id bigint, lat double, lon double"
+POSTS = "id bigint, delivery_id bigint, user_id string, text string, location string, geo struct<coordinates: array<double>>, place struct<place_type: string, full_name: string, country: string>"
 EDGES = "src bigint, dst bigint, weight bigint"
 
 
@@ -290,7 +291,9 @@ def test_whole_methods_run_their_own_rounds(spark, monkeypatch):
         assert located(reference_queries.QUERIES[name](spark, "")) == {u: (10.0, 20.0) for u in range(1, rounds + 2)}
 
 
-def test_whole_influence_runs_until_it_converges(spark, monkeypatch):
+def test_whole_influence_runs_until_it_converges(spark, monkeypatch, places):
+    monkeypatch.setattr(reference_queries, "table", lambda s, d, name: spark.createDataFrame([], POSTS))
+    monkeypatch.setattr(reference_queries, "places", lambda s, d: places)
     monkeypatch.setattr(reference_queries, "ties", lambda s, d: both_ways(spark, [(1, 3), (2, 3), (3, 4)]))
     monkeypatch.setattr(reference_queries, "homes", lambda s, d: spark.createDataFrame([(1, 10.0, 20.0), (2, 11.0, 21.0)], LOC))
     near = {1: [3], 2: [3], 3: [1, 2, 4], 4: [3]}
@@ -322,3 +325,26 @@ def test_tie_strength_keeps_the_ratio_of_ties_that_draws_miss(spark):
     home = [(1, 60.0, 0.0), (2, -40.0, 50.0), (3, -40.0, 50.1), (4, -40.0, 100.0), (5, -40.0, 100.1)] + [(u, float(r.uniform(-30, 50)), float(r.uniform(-170, 170))) for u in range(6, 305)]
     edges = both_ways(spark, [(4, 5), (900, 1), (900, 2), (900, 3)])  # 2 and 3 are as far apart as the tied 4 and 5; ten draws a user meet neither pair
     assert located(methods.tie_strength(edges, edges, spark.createDataFrame(home, LOC), quantiles=1, min_leaf=1))[900] == (-40.0, 50.0)
+
+
+def test_named_places_locate_users(spark, places, monkeypatch):
+    posts = spark.createDataFrame([(i, i, str(u), "in Paris", None, None, None) for i, u in enumerate((2, 3, 9))] + [(0, 7, "2", "in Paris", None, None, None)], POSTS)
+    edges, home = both_ways(spark, [(1, 2), (3, 4)]), spark.createDataFrame([(1, 10.0, 20.0)], LOC)
+    monkeypatch.setattr(reference_queries, "ties", lambda s, d: edges)
+    monkeypatch.setattr(reference_queries, "homes", lambda s, d: home)
+    monkeypatch.setattr(reference_queries, "places", lambda s, d: places)
+    monkeypatch.setattr(reference_queries, "table", lambda s, d, name: posts)
+    inputs = methods.Inputs(spark, posts, edges, edges, home, places)
+    for got in (located(methods.train("multi_location", inputs)), located(reference_queries.QUERIES["multi_location_whole"](spark, ""))):
+        assert got == {1: (10.0, 20.0), 2: (10.0, 20.0), 3: (48.85, 2.35)}  # 4 names nothing, 9 is not in the network
+    x, v = (2 * 37 % 1400 / 10 - 70, 2 * 91 % 3400 / 10 - 170), (48.85, 2.35)
+    far = lambda a, b: ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) / 2
+    w, wv = 2 / far(x, (10, 20)), 1 / ((far(x, v) + far((3 * 37 % 1400 / 10 - 70, 3 * 91 % 3400 / 10 - 170), v)) / 2)
+    got = located(methods.train("influence_profiling", methods.Inputs(spark, posts, edges, edges, home, places, {"rounds": 1})))
+    assert got[2] == pytest.approx([(w * h + wv * p) / (w + wv) for h, p in zip((10, 20), v)])
+
+
+def test_following_coefficients_count_all_pairs(spark):
+    home = spark.createDataFrame([(u, 0.0, x) for u, x in enumerate((0.0, 1.0, 3.0, 3.5))], LOC)  # of the pairs at a half, one, two degrees and more, those two are tied
+    alpha, beta = methods.following_coefficients(both_ways(spark, [(0, 1), (1, 2)]), home)
+    assert (alpha, beta) == pytest.approx(curves.fit_power_law([69, 138], [1, 1]))
