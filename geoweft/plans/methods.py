@@ -202,32 +202,46 @@ def city_features(edges: DataFrame, directed: DataFrame, cities: DataFrame) -> D
     return first.unionByName(shares.select("src", (base + 2 + F.col("b")).alias("f"), (F.col("n") / F.col("degree")).alias("v"))).select(F.col("src").alias("user_id"), F.col("f").cast("bigint").alias("feature"), F.col("v").alias("value"))
 
 
-def city_classifier(features: DataFrame, cities: DataFrame, most_features: int = 70_000) -> DataFrame:
+def city_classifier(features: DataFrame, cities: DataFrame, at_once: int = 32) -> DataFrame:
     """Users without a city get the one a linear classifier (one against the rest) picks from their features; empty without enough classes.
 
-    A user's features are at most seven per city of their friends; the number of cities bounds the vector and is checked.
+    A user's features are at most seven per city of their friends. The classes are fitted in blocks of ``at_once``: the weights of one block are held
+    at a time, and each user keeps the best class so far (of equal margins the first).
     """
-    from pyspark.ml.classification import LinearSVC, OneVsRest
+    from pyspark.ml.classification import LinearSVC
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     count = cities.agg(F.max("city")).head()[0]
     points = cities.groupBy("city").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"))
-    if not count or 7 * (count + 1) > most_features:
+    if not count:
         return cities.limit(0).select("user_id", "lat", "lon")
     size = 7 * (int(count) + 1)
     to_vector = F.udf(lambda pairs: SparseVector(size, sorted((int(f), float(v)) for f, v in pairs)), VectorUDT())
     rows = features.where("value <> 0").groupBy("user_id").agg(to_vector(F.collect_list(F.struct("feature", "value"))).alias("raw"))
     rows = StandardScaler(inputCol="raw", outputCol="features", withMean=False).fit(rows).transform(rows)
     train = cut(rows.join(cities.select("user_id", "city"), "user_id").select("features", "city"))
-    classes = sorted(r[0] for r in train.select("city").distinct().collect())  # bounded by the size check above
+    classes = sorted(r[0] for r in train.select("city").distinct().collect())  # one number for each city
     if len(classes) < 2:
         return cities.limit(0).select("user_id", "lat", "lon")
-    labels = rows.sparkSession.createDataFrame([(float(i), c) for i, c in enumerate(classes)], "label double, city bigint")
-    model = OneVsRest(classifier=LinearSVC(maxIter=20, tol=1e-2)).fit(train.join(labels, "city").select("features", "label"))
-    asked = rows.join(cities.select("user_id"), "user_id", "left_anti")
-    guessed = model.transform(asked).select("user_id", F.col("prediction").alias("label")).join(labels, "label")
-    return guessed.join(points, "city").select("user_id", "lat", "lon")
+    asked = cut(rows.join(cities.select("user_id"), "user_id", "left_anti").select("user_id", "features"))
+    svc, best = LinearSVC(maxIter=20, tol=1e-2), None
+    for start in range(0, len(classes), at_once):
+        block = classes[start : start + at_once]
+        fits = [svc.fit(train.select("features", (F.col("city") == c).cast("double").alias("label"))) for c in block]
+        shared = rows.sparkSession.sparkContext.broadcast((block, np.array([m.coefficients.toArray() for m in fits]), np.array([m.intercept for m in fits])))
+
+        def pick(v: SparseVector, shared=shared) -> tuple[float, int]:
+            cities, weights, intercepts = shared.value
+            margins = weights[:, v.indices] @ v.values + intercepts
+            i = int(np.argmax(margins))
+            return float(margins[i]), int(cities[i])
+
+        scored = asked.select("user_id", F.udf(pick, "margin double, city bigint")("features").alias("b"))
+        scored = scored if best is None else best.unionByName(scored)
+        best = cut(scored.groupBy("user_id").agg(F.min_by("b", F.struct(-F.col("b.margin"), F.col("b.city"))).alias("b")))
+        shared.destroy()
+    return best.select("user_id", F.col("b.city").alias("city")).join(points, "city").select("user_id", "lat", "lon")
 
 
 def random_pairs(located: DataFrame, draws: int) -> DataFrame:

@@ -348,3 +348,11 @@ def test_following_coefficients_count_all_pairs(spark):
     home = spark.createDataFrame([(u, 0.0, x) for u, x in enumerate((0.0, 1.0, 3.0, 3.5))], LOC)  # of the pairs at a half, one, two degrees and more, those two are tied
     alpha, beta = methods.following_coefficients(both_ways(spark, [(0, 1), (1, 2)]), home)
     assert (alpha, beta) == pytest.approx(curves.fit_power_law([69, 138], [1, 1]))
+
+
+def test_city_classifier_of_more_than_ten_thousand_cities(spark):
+    where = {u: (0, 3, 20_000)[u % 3] for u in range(24)}
+    cities = spark.createDataFrame([(u, c, float(c) / 1000, 1.0) for u, c in where.items()], "user_id bigint, city bigint, lat double, lon double")
+    features = spark.createDataFrame([(u, 7 * c + u % 2, 1.0) for u, c in where.items()] + [(100 + i, 7 * c + k, 1.0) for i, c in enumerate((0, 3, 20_000)) for k in (0, 1)], "user_id bigint, feature bigint, value double")
+    for at_once in (32, 2):
+        assert located(methods.city_classifier(features, cities, at_once)) == {100 + i: (c / 1000, 1.0) for i, c in enumerate((0, 3, 20_000))}
