@@ -328,6 +328,10 @@ def friend_vote(spark, d):
     return methods.friend_vote(ties(spark, d), rounded)
 
 
+def friend_vote_whole(spark, d):
+    return methods.friend_vote(cut(ties(spark, d)), cut(gold_locations(spark, d)))
+
+
 def social_tightness(spark, d):
     return methods.social_tightness(cut(ties(spark, d)), homes(spark, d), 1)
 
@@ -350,8 +354,17 @@ def city_features(spark, d):
     return f.select("user_id", "feature", F.round("value", 6).alias("value"))
 
 
+def _whole_cities(spark, d):
+    return methods.city_homes(homes(spark, d), places(spark, d))
+
+
+def city_features_whole(spark, d):
+    f = methods.city_features(cut(ties(spark, d)), network(spark, d), cut(_whole_cities(spark, d)))
+    return f.select("user_id", "feature", F.round("value", 6).alias("value"))
+
+
 def city_classifier(spark, d):
-    cities = cut(_cities(spark, d))
+    cities = cut(_whole_cities(spark, d))
     return methods.city_classifier(cut(methods.city_features(cut(ties(spark, d)), network(spark, d), cities)), cities)
 
 
@@ -461,7 +474,7 @@ infer_by_post infer_by_user haversine_pairs vincenty_pairs known_distance valid_
 parsed_coordinates geometric_median weighted_median_dispersion upper_median mode_location centroid pair_distance_hist
 closeness_distance_table error_cdf error_auc quantile_bounds gazetteer_names unambiguous_cities geocode_exact geocode_noisy
 reverse_geocode canonicalize constant_baseline random_neighbor random_neighbor_whole spatial_label_propagation spatial_label_propagation_ellipsoid
-total_variation total_variation_whole gold_locations friend_vote social_tightness social_tightness_whole social_energy city_features city_classifier tie_strength multi_location multi_location_whole
+total_variation total_variation_whole gold_locations friend_vote friend_vote_whole social_tightness social_tightness_whole social_energy city_features city_features_whole city_classifier tie_strength multi_location multi_location_whole
 influence_profiling influence_profiling_whole toponym_scan toponym_ngrams tokenize squash_text prediction_errors coverage median_max_error
 median_median_error error_sample score_report validate_dist validate_name cross_validate cross_validate_whole home_locations
 """.split()

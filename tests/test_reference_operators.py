@@ -356,3 +356,17 @@ def test_city_classifier_of_more_than_ten_thousand_cities(spark):
     features = spark.createDataFrame([(u, 7 * c + u % 2, 1.0) for u, c in where.items()] + [(100 + i, 7 * c + k, 1.0) for i, c in enumerate((0, 3, 20_000)) for k in (0, 1)], "user_id bigint, feature bigint, value double")
     for at_once in (32, 2):
         assert located(methods.city_classifier(features, cities, at_once)) == {100 + i: (c / 1000, 1.0) for i, c in enumerate((0, 3, 20_000))}
+
+
+def test_whole_vote_and_cities_take_true_locations(spark, places, monkeypatch):
+    posts = spark.createDataFrame([(u, u, str(u), None, None, ([10.123, 20.456],), None) for u in (1, 2)], POSTS)
+    paris, denis, few = range(1, 21), range(21, 41), range(41, 60)  # 19 are too few for a city
+    home = [(u, 48.851, 2.351) for u in paris] + [(u, -20.881, 55.451) for u in denis] + [(u, 40.711, -74.001) for u in few]
+    edges = both_ways(spark, [(u, u + 1) for us in (paris, denis) for u in us[:-1]] + [(900, u) for u in (1, 2, 3)])
+    for name, got in {"ties": edges, "network": edges, "homes": spark.createDataFrame(home, LOC), "places": places}.items():
+        monkeypatch.setattr(reference_queries, name, lambda s, d, got=got: got)
+    monkeypatch.setattr(reference_queries, "table", lambda s, d, name: posts)
+    voted = located(reference_queries.QUERIES["friend_vote_whole"](spark, ""))
+    assert voted[1] == voted[2] == voted[900] == (10.123, 20.456)
+    assert {r["feature"] // 7 for r in reference_queries.QUERIES["city_features_whole"](spark, "").collect()} == {0, 1}
+    assert located(reference_queries.QUERIES["city_classifier"](spark, ""))[900] == (48.85, 2.35)
