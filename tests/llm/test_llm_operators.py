@@ -286,3 +286,16 @@ def test_garbled_over_a_table(spark):
     [fixed] = garbled.restore_garbled(df, "doc_id", "text").collect()
     assert fixed["restored"] == CLEAN[0] and fixed["lost"] is False
     assert garbled.find_garbled(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_margin_is_validated_on_long_texts_too(spark):
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcdeéèüößñ") for _ in range(6)) for _ in range(700)) for _ in range(2)]
+    assert min(map(len, texts)) > 4000
+    model = garbled.fitted(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text")
+    per_text = [{w for w in garbled.foreign_words(t) if garbled.trained_on(w)} for t in texts]
+    left = [model.best(w)[0] for ws in per_text for w in ws]
+    made = [garbled.garble(w, garbled.CHAINS[garbled.zlib.crc32(w.encode()) % len(garbled.CHAINS)]) for w in set.union(*per_text)]
+    wrong = [model.best(g)[0] for g in made if g and not g.isascii()]
+    want = min([3 + x / 4 for x in range(37)], key=lambda m: (sum(g <= m for g in wrong) / len(wrong) + sum(g > m for g in left) / len(left), -m))
+    assert model.margin == want != garbled.Model({}).margin
