@@ -84,6 +84,7 @@ HINTS = [
         "sokak": " no:",
     }.items()
 ]
+SPOKEN = tuple(f" {w} " for w in _NUM[3:-1].split("|"))  # every match of "words" has one, unless written with a letter of "ſıİ"
 WORDED = next(i for i, (_, name, _) in enumerate(FORMATS) if name == "words")
 TOKEN = re.compile(r"[^\W\d_]+(?:[’'‑-][^\W\d_]+)*")
 TITLES = frozenset("mr mrs ms dr prof herr frau sr sra señor señora pan pani bay bayan".split())
@@ -161,13 +162,13 @@ class Finder:
             chosen.append(0)
         if "at]" in low or "at)" in low or "at )" in low or "at ]" in low:
             chosen.append(1)
-        if " dot " in low:
+        if "dot" in low:
             chosen.append(2)
         if DIGIT.search(text):
             chosen += [k for k, hints in HINTS if any(h in low for h in hints)]
             if DIGITISH.search(text):
                 chosen += NUMBERED
-        if " zero " in low or " five " in low or " nine " in low or " one " in low and " two " in low:
+        if any(w in low for w in SPOKEN) or any(c in text for c in "ſıİ"):
             chosen.append(WORDED)
         for k in chosen:
             for m in FORMATS[k][2].finditer(text):

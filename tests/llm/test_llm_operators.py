@@ -55,6 +55,13 @@ def test_details_in_a_long_text_and_over_nothing(spark, selector):
     assert personal.find_details(texts.limit(0), "id", "text", names, places).collect() == []
 
 
+def test_every_spelled_out_detail_is_proposed(selector):
+    for name, said in (("words", "three four six seven eight three four"), ("words", "Four four six seven eight three six."), ("words", "oh oh eight oh eight oh oh"), ("spoken", "calna at post[dot]test"), ("spoken", "calna at post (dot) test"), ("spoken", "calna at post dot test")):
+        k = next(i for i, f in enumerate(personal.FORMATS) if f[1] == name)
+        m = personal.FORMATS[k][2].search(said)
+        assert (m.start(), m.end(), k, 0, []) in selector.finder.spans(said), said
+
+
 def test_boosted_trees_learn_an_interaction():
     import numpy as np
 
