@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import html
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,41 +27,59 @@ def unescape(text: Column) -> Column:
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
-#: Things that stay whole, tried in this order at each place.
-TOKENS = re.compile(
+def unescape_html(text: Column) -> Column:
+    """All named and numeric entities replaced, doubly escaped ones too; null stays null. Texts without an ampersand are not looked at."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t if t is None or "&" not in t else html.unescape(t.replace("&amp;", "&")))
+
+    return run(text)
+
+
+#: Things that stay whole, tried in this order at each place. Marks are told by their Unicode class: quotes, signs that end a phrase, other marks.
+_URL_END = r"[^\s<>\p{P}]|[/&=#%_-]"
+_QUOTE = r"""["'\p{Pi}\p{Pf}]"""
+TOKENS = regex.compile(
     "|".join(
         [
-            r"https?://[^\s<>]*[^\s<>.,;:!?…'\"“”‘’)\]]",
-            r"www\.[^\s<>]*[^\s<>.,;:!?…'\"“”‘’)\]]",
+            rf"(?:[a-z][a-z0-9+.-]*://|www\.)[^\s<>]*(?:{_URL_END})",
             r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
-            r"[@＠]\w+",
-            r"[#＃]\w+",
-            r"<+/?3+|[:;=8xX][-'’]?[)(\]\[dDpPoO/\\|*]+(?!\w)|[)(][-'’]?[:;=](?!\w)|¯\\_\(ツ\)_/¯|\^_*\^|[oO][._][oO](?!\w)",
-            r"<?[-=]+>|<[-=]+>?|[←-⇿]+",
-            r"&(?:amp|lt|gt|quot);",
+            r"[@＠#＃]\w+",
+            r"(?<!\w)[<>:;=8x]\p{P}*[DPOpo03](?!\w)",  # a face: eyes, perhaps a nose, a mouth that is a letter or a number
+            r"(?<!\w)(?!\p{Ps}|\p{Pe})[:;=]\p{P}?[\p{Ps}\p{Pe}/|*\\]+|[\p{Ps}\p{Pe}]\p{P}?[:;=](?!\w)",  # a face whose mouth is a bracket
             r"\d+:\d+(?:am|pm)?",
-            r"[$€£]?\d+(?:[.,]\d+)*%?",
-            r"(?:[^\W\d_]\.){2,}",
-            r"[^\W_]+(?:['’‘′][^\W\d_]+)+",
-            r"[^\W_]+(?:[_-][^\W_]+)*",
-            r"[.?!,…]+|['\"“”‘’]+|[:;]+",
+            r"\p{Sc}?\d+(?:\p{Po}\d+)*%?",
+            r"(?:\p{L}\.){2,}",
+            r"[\p{L}\p{M}\p{N}]+(?:[\p{Pd}_'’‘′][\p{L}\p{M}\p{N}]+)*",
+            r"[\p{Pd}\p{Sm}]{2,}",  # arrows and rules
+            rf"{_QUOTE}+",
+            r"(?:(?!['\"&@#%*/\\])\p{Po})+",
             r"[^\w\s]",
             r"_+",
         ]
     )
 )
-#: A word and the contraction at its end.
-CONTRACTION = re.compile(r"(?i)(\w+)(n['’′]t|['’′](?:ve|ll|d|re|s|m))$")
+#: Endings that are split from a word, and the apostrophes before them.
+ENDINGS = "n't 've 'll 'd 're 's 'm"
+APOSTROPHES = "'’′"
 
 
 def tokens(text: str) -> list[str]:
     """The tokens of a post; links, addresses, names, tags, numbers and emoticons stay whole."""
-    return TOKENS.findall(text.replace("&amp;", "&"))
+    return TOKENS.findall(html.unescape(text.replace("&amp;", "&")) if "&" in text else text)
 
 
 def split_contraction(token: str) -> list[str]:
-    found = CONTRACTION.search(token)
-    return [found[1], found[2]] if found else [token]
+    """A word and the contraction at its end, or the token as it is."""
+    plain = token.lower()
+    for mark in APOSTROPHES[1:]:
+        plain = plain.replace(mark, APOSTROPHES[0])
+    for ending in ENDINGS.split():
+        word = token[: -len(ending)]
+        if plain.endswith(ending) and word and word.replace("_", "").isalnum():
+            return [word, token[-len(ending) :]]
+    return [token]
 
 
 def tokenize(text: Column, contractions: bool = False) -> Column:

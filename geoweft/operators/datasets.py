@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squash
 from ..session import cut
-from .skew import SALT, heavy_candidates, skew_safe_join, with_salt
+from .skew import SALT, heavy_candidates, skew_safe_join, skew_safe_left, with_salt
 
 
 def path(name: str) -> Column:
@@ -62,6 +62,12 @@ def top_per_key(df: DataFrame, key: str, order: list[Column], n: int, *, salts:
     return salted.withColumn("__r", F.row_number().over(final)).where(F.col("__r") <= n).drop("__r", SALT)
 
 
+def _with_offsets(ranged: DataFrame, offsets: dict[int, int]) -> DataFrame:
+    """``ranged`` with the start of its range as ``__start``; one broadcast row for each range, that is for each shuffle partition."""
+    starts = ranged.sparkSession.createDataFrame(list(offsets.items()), "__range int, __start bigint")
+    return ranged.join(F.broadcast(starts), "__range")
+
+
 def global_index(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
     """``df`` with the position of each row in the order of ``order`` (which must identify rows), from 0.
 
@@ -75,8 +81,7 @@ def global_index(df: DataFrame, order: list[str], name: str = "index") -> DataFr
     local = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
     if not offsets:
         return ranged.withColumn(name, F.lit(0).cast("bigint")).drop("__range")
-    start = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])[F.col("__range")]
-    return ranged.withColumn(name, (local + start).cast("bigint")).drop("__range")
+    return _with_offsets(ranged.withColumn("__local", local), offsets).withColumn(name, (F.col("__local") + F.col("__start")).cast("bigint")).drop("__range", "__local", "__start")
 
 
 def running_sum(df: DataFrame, order: str, value: str, name: str) -> tuple[DataFrame, int]:
@@ -89,8 +94,8 @@ def running_sum(df: DataFrame, order: str, value: str, name: str) -> tuple[DataF
     offsets, total = {-1: 0}, 0
     for k in sorted(sums):
         offsets[k], total = total, total + sums[k]
-    start = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])[F.col("__range")]
-    return ranged.withColumn(name, F.sum(value).over(Window.partitionBy("__range").orderBy(order)) + start).drop("__range"), total
+    placed = _with_offsets(ranged.withColumn("__local", F.sum(value).over(Window.partitionBy("__range").orderBy(order))), offsets)
+    return placed.withColumn(name, F.col("__local") + F.col("__start")).drop("__range", "__local", "__start"), total
 
 
 def assign_folds(gold: DataFrame, folds: int) -> DataFrame:
@@ -105,10 +110,7 @@ def assign_folds(gold: DataFrame, folds: int) -> DataFrame:
 def mask_holdout(posts: DataFrame, user: str, held_out: DataFrame, columns: tuple[str, ...] = ("geo", "place")) -> DataFrame:
     """``posts`` with the location columns of held-out users set to null; text and mentions stay."""
     flags = held_out.select(F.col("user_id").alias(user)).where(F.col(user).isNotNull()).distinct().withColumn("__held", F.lit(True))
-    heavy = heavy_candidates(posts, user)
-    known = [r[0] for r in flags.where(F.col(user).isin(heavy)).select(user).collect()] if heavy else []
-    rest = posts.join(flags.where(~F.col(user).isin(known)) if known else flags, user, "left")
-    held = F.coalesce("__held", F.lit(False)) | (F.coalesce(F.col(user).isin(known), F.lit(False)) if known else F.lit(False))
+    rest, held = skew_safe_left(posts, flags, user), F.coalesce("__held", F.lit(False))
     return rest.select(*[F.when(~held, F.col(c)).alias(c) if c in columns else F.col(c) for c in posts.columns], held.alias("held_out"))
 
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import skew_safe_join
+from ..session import cut
+from .skew import skew_safe_join, skew_safe_semi
 
 
 def mentions(posts: DataFrame, author: str, mentioned: Column) -> DataFrame:
@@ -58,18 +59,22 @@ def triangle_list(edges: DataFrame) -> DataFrame:
     A triangle is found at its end of lowest degree: every edge points to the end of higher degree, so a
     hub has few outgoing edges and is never paired with itself.
     """
-    edges = edges.select("src", "dst").where("src <> dst").distinct()
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
     degrees = degree(edges)
-    ranked = skew_safe_join(edges.withColumnRenamed("dst", "user_id"), degrees, "user_id").select(F.col("src"), F.col("user_id").alias("dst"), F.col("degree").alias("dd"))
-    ranked = skew_safe_join(ranked.withColumnRenamed("src", "user_id"), degrees, "user_id").select(F.col("user_id").alias("src"), "dst", "dd", F.col("degree").alias("sd"))
-    out = ranked.where("sd < dd OR (sd = dd AND src < dst)").select("src", "dst")
+    # (user_id, dst) and (dst, src) meet their degree in one join: each edge is stored both ways, so its smaller id row knows one end and its larger the other
+    ends = skew_safe_join(edges.withColumnRenamed("src", "user_id"), degrees, "user_id")
+    pair = ends.groupBy(F.least("user_id", "dst").alias("lo"), F.greatest("user_id", "dst").alias("hi"))
+    both = pair.agg(F.max(F.when(F.col("user_id") < F.col("dst"), F.col("degree"))).alias("ld"), F.max(F.when(F.col("user_id") > F.col("dst"), F.col("degree"))).alias("hd"))
+    up = F.col("ld") <= F.col("hd")  # of equal degrees the smaller id
+    out = cut(both.select(F.when(up, F.col("lo")).otherwise(F.col("hi")).alias("src"), F.when(up, F.col("hi")).otherwise(F.col("lo")).alias("dst")))
     wedge = out.alias("a").join(out.alias("b"), F.col("a.src") == F.col("b.src")).where("a.dst < b.dst").select(F.col("a.src").alias("x"), F.col("a.dst").alias("y"), F.col("b.dst").alias("z"))
-    return wedge.join(edges.where("src < dst").select(F.col("src").alias("y"), F.col("dst").alias("z")), ["y", "z"])
+    return wedge.join(out.select(F.least("src", "dst").alias("y"), F.greatest("src", "dst").alias("z")), ["y", "z"])
 
 
 def triangles(edges: DataFrame) -> DataFrame:
     """(src, dst, common): the number of common neighbours of each edge of an undirected graph."""
     ways = F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in ("xy", "yx", "xz", "zx", "yz", "zy")])
+    edges = cut(edges.select("src", "dst"))
     counts = triangle_list(edges).select(F.explode(ways).alias("e")).groupBy("e.src", "e.dst").agg(F.count(F.lit(1)).alias("common"))
     ends = edges.select("src", "dst").where("src <> dst").distinct()
     return ends.join(counts, ["src", "dst"], "left").select("src", "dst", F.coalesce("common", F.lit(0)).cast("bigint").alias("common"))
@@ -83,4 +88,4 @@ def neighbours(edges: DataFrame, located: DataFrame) -> DataFrame:
 
 def in_network(users: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     """The rows of ``users`` whose id has an edge."""
-    return users.join(edges.select(F.col("src").alias(key)).distinct(), key, "left_semi")
+    return skew_safe_semi(users, edges.select(F.col("src").alias(key)), key)

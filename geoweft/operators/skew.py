@@ -1,8 +1,9 @@
-"""Two-stage salted aggregation for tables in which a few keys hold most of the rows.
+"""Two-stage salted aggregation and joins for tables in which a few keys hold most of the rows.
 
-Heavy keys are found by one streaming pass of bounded size (at most ``1 / support`` candidates,
-whatever the input). Only their rows get a salt, so light keys take the plain way: partial results
-per (key, salt), then one merge per key over at most ``salts`` partials.
+Heavy keys are found by one streaming pass of bounded size (a frequent-items sketch of ``TRACKED`` counters,
+whatever the input). A key is heavy by its share of the rows or, in large tables, by its number of rows.
+Only heavy keys get a salt, so light keys take the plain way: partial results per (key, salt), then one
+merge per key over at most ``salts`` partials.
 
 Null keys form a group of their own, as in SQL. Salts are drawn from the row's content, so a
 recomputed task draws the same ones. Empty input gives no rows.
@@ -10,6 +11,7 @@ recomputed task draws the same ones. Empty input gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -17,12 +19,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 SALT = "__salt"
+TRACKED = 8192  # counters of the sketch of frequent keys
+MOST_HEAVY = 2500  # keys above the sketch's error are fewer than TRACKED / 3.5
+SMALL_BYTES = 32 << 20  # input below this is one task's work, however skewed
+SCALES = {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20}  # larger units are never small
+HEAVY_ROWS = 1_000_000  # a key of more rows is heavy, however large the table
 
 
-def heavy_candidates(df: DataFrame, key: str, support: float = 0.005) -> list:
-    """Every value of ``key`` that holds more than ``support`` of the rows; at most ``1 / support`` values, some may be light."""
-    found = df.select(F.col(key).alias("k")).where("k IS NOT NULL").stat.freqItems(["k"], support).head()
-    return list(found[0]) if found and found[0] else []
+def is_small(df: DataFrame) -> bool:
+    """Whether the planner puts ``df`` below ``SMALL_BYTES``; joins are overstated, so this speaks for little data."""
+    size, unit = re.search(r"sizeInBytes=(\S+) (\w+)", df._jdf.queryExecution().optimizedPlan().stats().simpleString()).groups()
+    return unit in SCALES and float(size) * SCALES[unit] < SMALL_BYTES
+
+
+def heavy_candidates(df: DataFrame, key: str, support: float = 0.005, rows: int = HEAVY_ROWS) -> list:
+    """Every value of ``key`` that holds more than ``support`` of the non-null rows, or more than ``rows`` rows; at most ``TRACKED`` values, some may be lighter.
+
+    Tables that the planner puts below ``SMALL_BYTES`` have none: one task can take them whole. The sketch overstates a count by at most 3.5 / TRACKED of the rows, so in tables above ``rows`` * TRACKED / 3.5 (2.3 billion) rows that share takes the place of ``rows``.
+    """
+    if is_small(df):
+        return []
+    found = df.select(F.col(key).alias("k")).where("k IS NOT NULL").agg(F.count("k").alias("n"), F.expr(f"approx_top_k(k, {MOST_HEAVY}, {TRACKED})").alias("top")).head()
+    least = min(support * found["n"], max(rows, found["n"] * 3.5 / TRACKED))
+    return [r["item"] for r in found["top"] or () if r["count"] > least]
 
 
 def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
@@ -94,23 +113,33 @@ def keys_by_share(df: DataFrame, key: str, share: float, *, salt_on: list[str] |
     return counts.where(F.col(f"`{key}`").isNotNull() & (F.col("rows") >= F.lit(share * total)))
 
 
-def skew_safe_join(left: DataFrame, right: DataFrame, key: str, support: float = 0.005) -> DataFrame:
-    """Inner join with a ``right`` that holds each key once; rows of heavy left keys never meet in one task. Null keys match nothing.
+def _salted_sides(left: DataFrame, right: DataFrame, key: str, heavy: list, salts: int, nulls: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: heavy left rows (and null keys, with ``nulls``) draw one, heavy right rows are copied to each."""
+    spread = F.col(key).isin(heavy) if heavy else F.lit(False)
+    drawn = F.pmod(row_hash(left), F.lit(salts)).cast("int")
+    a = left.withColumn(SALT, F.when(F.col(key).isNull() if nulls else F.lit(False), drawn).when(spread, drawn).otherwise(F.lit(0)))
+    return a, right.withColumn(SALT, F.explode(F.when(spread, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+
 
-    The right rows of the heavy keys number at most ``1 / support``, so these are broadcast; all others are shuffled.
+def skew_safe_join(left: DataFrame, right: DataFrame, key: str, support: float = 0.005, *, salts: int = 64) -> DataFrame:
+    """Inner join in which rows of heavy left keys never meet in one task; a ``right`` that holds each key once is copied ``salts`` times for heavy keys. Null keys match nothing.
+
+    Both sides are read once, besides the pass over the left key that finds the heavy ones.
     """
     heavy = heavy_candidates(left, key, support)
     if not heavy:
         return left.join(right, key)
-    rest = left.where(~F.col(key).isin(heavy)).join(right.where(~F.col(key).isin(heavy)), key)
-    return rest.unionByName(left.where(F.col(key).isin(heavy)).join(F.broadcast(right.where(F.col(key).isin(heavy))), key))
+    a, b = _salted_sides(left, right, key, heavy, salts, False)
+    return a.join(b, [key, SALT]).drop(SALT)
 
 
-def skew_safe_left(left: DataFrame, right: DataFrame, key: str, support: float = 0.005) -> DataFrame:
-    """Left join with a ``right`` that holds each key once, as :func:`skew_safe_join`; rows with a null key stay, unmatched."""
-    heavy = heavy_candidates(left, key, support)
-    if not heavy:
-        return left.join(right, key, "left")
-    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-    rest = left.where(~is_heavy).join(right.where(~is_heavy), key, "left")
-    return rest.unionByName(left.where(is_heavy).join(F.broadcast(right.where(is_heavy)), key, "left"))
+def skew_safe_left(left: DataFrame, right: DataFrame, key: str, support: float = 0.005, *, salts: int = 64) -> DataFrame:
+    """Left join as :func:`skew_safe_join`; rows with a null key stay, unmatched, and are spread too."""
+    a, b = _salted_sides(left, right, key, heavy_candidates(left, key, support), salts, True)
+    return a.join(b, [key, SALT], "left").drop(SALT)
+
+
+def skew_safe_semi(left: DataFrame, right: DataFrame, key: str, support: float = 0.005, *, anti: bool = False) -> DataFrame:
+    """The rows of ``left`` whose key is (or, with ``anti``, is not) in ``right``; null keys are in nothing."""
+    a, b = _salted_sides(left, right.select(key).where(F.col(key).isNotNull()).distinct(), key, heavy_candidates(left, key, support), 64, anti)
+    return a.join(b, [key, SALT], "left_anti" if anti else "left_semi").drop(SALT).select(*left.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_NAMES = 500_000
@@ -58,5 +58,10 @@ def toponyms(posts: DataFrame, keys: list[str], text: str, known: DataFrame) ->
 def toponym_ngrams(posts: DataFrame, keys: list[str], text: str, known: DataFrame, longest: int = 3) -> DataFrame:
     """``keys, name``: every run of one to ``longest`` words that is a name, overlaps included; a plain join for gazetteers of any size."""
     words = posts.where(F.col(text).isNotNull()).select(*keys, F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}'’-]+"), lambda w: w != "").alias("w"))
-    runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=n: F.array_join(F.slice("w", i + 1, n), " ")) if n == 1 else F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=n: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]))
+    def starting(n: int) -> Column:
+        """All runs of ``n`` words."""
+        every = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+        return F.when(F.size("w") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    runs = F.flatten(F.array(*[starting(n) for n in range(1, longest + 1)]))
     return words.where(F.size("w") > 0).select(*keys, F.explode(runs).alias("name")).join(known.select("name").distinct(), "name").select(*keys, "name")

@@ -12,7 +12,7 @@ from ..functions.geo import distance_km, haversine_km, np_distance, valid_coord
 from ..operators.aggregates import by_group, error_auc, error_cdf, medoids, upper_median
 from ..operators.datasets import infer_posts
 from ..operators.gazetteer import reverse_geocode
-from ..operators.skew import salted_aggregate
+from ..operators.skew import salted_aggregate, skew_safe_semi
 from ..session import cut
 
 
@@ -112,13 +112,13 @@ def home_locations(points: DataFrame, kind: str = "vincenty", size: int = 5, km:
     """
     cell = [F.floor(F.col(c) * 20) for c in ("lat", "lon")]  # cells of a twentieth of a degree: at most 7.9 km across
     sure = points.groupBy("user_id", *[c.alias(n) for c, n in zip(cell, ("x", "y"))]).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size).select("user_id").distinct()
-    unsure = points.join(sure, "user_id", "left_anti")
+    unsure = skew_safe_semi(points, sure, "user_id", anti=True)
 
     def run(g: dict[str, np.ndarray]) -> tuple | None:
         return (int(g["user_id"][0]),) if has_cluster(g["lat"], g["lon"], size, km, kind) else None
 
     found = sure.unionByName(by_group(unsure.select("user_id", "ord", "lat", "lon"), "user_id", ["ord"], "user_id bigint", run))
-    settled = points.join(found, "user_id", "left_semi").withColumn("weight", F.lit(1.0))
+    settled = skew_safe_semi(points, found, "user_id").withColumn("weight", F.lit(1.0))
     return medoids(settled, "user_id", kind=kind).select("user_id", "lat", "lon")
 
 
@@ -131,7 +131,7 @@ def cross_validate(gold: DataFrame, home: DataFrame, posts: DataFrame, method: C
     for fold in folds:
         held = gold.where(F.col("fold") == fold).select("user_id").distinct()
         model = method(home.join(held, "user_id", "left_anti"))
-        asked = posts.join(held, "user_id", "left_semi").dropDuplicates(["post_id"])
+        asked = skew_safe_semi(posts, held, "user_id").dropDuplicates(["post_id"])
         part = infer_posts(asked, model).select(F.lit(fold).alias("fold"), "post_id", "user_id", "lat", "lon")
         out = part if out is None else out.unionByName(part)
     return out

@@ -22,6 +22,7 @@ from ..operators.datasets import global_index, top_per_key
 from ..operators.deliveries import keep_first
 from ..operators.gazetteer import TAB, canonicalize, geocode, geocode_noisy, names
 from ..operators.graph import degree, neighbours, reciprocal, triangle_list, triangles
+from ..operators.skew import skew_safe_join, skew_safe_semi
 from ..operators.toponyms import toponyms
 from ..session import cut
 
@@ -33,7 +34,7 @@ def constant_baseline(users: DataFrame, lat: float = -6.2, lon: float = 106.8) -
 
 def _unlocated(edges: DataFrame, located: DataFrame) -> DataFrame:
     """The edges whose source has no home."""
-    return edges.join(located.select(F.col("user_id").alias("src")), "src", "left_anti")
+    return skew_safe_semi(edges, located.select(F.col("user_id").alias("src")), "src", anti=True)
 
 
 def _rounds(edges: DataFrame, home: DataFrame, rounds: int, step: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
@@ -113,8 +114,10 @@ def friend_vote(edges: DataFrame, gold: DataFrame, min_votes: int = 2, min_frien
 
 def closeness(edges: DataFrame, root: bool = False) -> DataFrame:
     """(src, dst, closeness): common neighbours over the product of both degrees (or over its square root)."""
+    edges = cut(edges.select("src", "dst"))
     d = degree(edges)
-    both = triangles(edges).join(d.select(F.col("user_id").alias("src"), F.col("degree").alias("a")), "src").join(d.select(F.col("user_id").alias("dst"), F.col("degree").alias("b")), "dst")
+    both = skew_safe_join(cut(triangles(edges)), d.select(F.col("user_id").alias("src"), F.col("degree").alias("a")), "src")
+    both = skew_safe_join(both, d.select(F.col("user_id").alias("dst"), F.col("degree").alias("b")), "dst")
     product = (F.col("a") * F.col("b")).cast("double")
     return both.select("src", "dst", (F.col("common") / (F.sqrt(product) if root else product)).alias("closeness"))
 
@@ -123,7 +126,7 @@ def located_ties(ties: DataFrame, located: DataFrame) -> DataFrame:
     """The ties with both ends located, and their distance in km."""
     a = located.select(F.col("user_id").alias("src"), F.col("lat").alias("alat"), F.col("lon").alias("alon"))
     b = located.select(F.col("user_id").alias("dst"), F.col("lat").alias("blat"), F.col("lon").alias("blon"))
-    return ties.join(a, "src").join(b, "dst").withColumn("km", haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))).drop("alat", "alon", "blat", "blon")
+    return skew_safe_join(skew_safe_join(ties, a, "src"), b, "dst").withColumn("km", haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))).drop("alat", "alon", "blat", "blon")
 
 
 def closeness_table(ties: DataFrame, located: DataFrame) -> DataFrame:
@@ -137,7 +140,7 @@ def closeness_table(ties: DataFrame, located: DataFrame) -> DataFrame:
 def _best_neighbour(edges: DataFrame, located: DataFrame, scores: DataFrame) -> DataFrame:
     """Each unlocated user goes to the located neighbour of the highest score (user_id, score; 0 where none)."""
     known = located.join(scores, "user_id", "left").select("user_id", "lat", "lon", F.coalesce(F.round("score", 9), F.lit(0.0)).alias("score"))
-    near = _unlocated(edges, located).join(known.withColumnRenamed("user_id", "dst"), "dst")
+    near = skew_safe_join(_unlocated(edges, located), known.withColumnRenamed("user_id", "dst"), "dst")
     best = near.groupBy("src").agg(F.min_by(F.struct("lat", "lon"), F.struct(-F.col("score"), F.col("dst"))).alias("p"))
     return best.select(F.col("src").alias("user_id"), "p.lat", "p.lon")
 
@@ -170,7 +173,7 @@ def social_energy(edges: DataFrame, home: DataFrame, alpha: float = 0.0, beta1:
     reach = ties.groupBy("s").agg(F.avg("km").alias("dr"))
     energy = ties.join(reach, "s").groupBy(F.col("src").alias("user_id")).agg(F.sum(-F.col("closeness") * F.exp(-F.col("km") / F.greatest("dr", F.lit(1e-6)))).alias("g"))
     known = home.join(energy, "user_id", "left").join(clustering(edges), "user_id", "left").select(F.col("user_id").alias("dst"), "lat", "lon", F.coalesce("g", F.lit(0.0)).alias("g"), F.coalesce("c", F.lit(0.0)).alias("c"))
-    near = _unlocated(edges, home).join(known, "dst")
+    near = skew_safe_join(_unlocated(edges, home), known, "dst")
     w = Window.partitionBy("src")
     ranked = near.withColumn("rg", F.rank().over(w.orderBy(F.round("g", 9)))).withColumn("rc", F.rank().over(w.orderBy(F.round(-F.col("c"), 9))))
     scored = ranked.withColumn("score", F.round(rank_logistic(F.col("rg"), F.col("rc"), alpha, beta1, beta2), 12))
@@ -189,7 +192,7 @@ def city_homes(home: DataFrame, places: DataFrame, least: int = 20, kind: str =
 def city_features(edges: DataFrame, directed: DataFrame, cities: DataFrame) -> DataFrame:
     """Long form (user_id, feature, value); seven features per city: size bin of friends there, reciprocal share, and shares of five triad bins."""
     where = cities.select(F.col("user_id").alias("dst"), "city")
-    friends = cut(edges.join(where, "dst").select("src", "dst", "city"))
+    friends = cut(skew_safe_join(edges, where, "dst").select("src", "dst", "city"))
     back = reciprocal(directed).where("src <> dst").select("src", "dst").withColumn("both", F.lit(1))
     counts = friends.join(back, ["src", "dst"], "left").groupBy("src", "city").agg(F.count(F.lit(1)).alias("n"), F.count("both").alias("r"))
     ways = F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.col(c).alias("third")) for a, b, c in ("xyz", "xzy", "yxz", "yzx", "zxy", "zyx")])
@@ -395,12 +398,12 @@ def influence_profiling(edges: DataFrame, home: DataFrame, rounds: int = 5, name
     x = cut(fixed.unionByName(open_.withColumn("fixed", F.lit(False))))
     square = lambda a, b, c, d: (F.col(a) - F.col(c)) * (F.col(a) - F.col(c)) + (F.col(b) - F.col(d)) * (F.col(b) - F.col(d))
     for _ in range(rounds):
-        own = edges.select("src", "dst").join(x.select(F.col("user_id").alias("src"), F.col("lat").alias("alat"), F.col("lon").alias("alon")), "src")
-        tied = own.join(x.select(F.col("user_id").alias("dst"), F.col("lat").alias("blat"), F.col("lon").alias("blon")), "dst")
+        own = skew_safe_join(edges.select("src", "dst"), x.select(F.col("user_id").alias("src"), F.col("lat").alias("alat"), F.col("lon").alias("alon")), "src")
+        tied = skew_safe_join(own, x.select(F.col("user_id").alias("dst"), F.col("lat").alias("blat"), F.col("lon").alias("blon")), "dst")
         sigma = cut(tied.groupBy("src").agg((F.sum(square("blat", "blon", "alat", "alon")) / (2 * F.count(F.lit(1)))).alias("sigma")).where("sigma > 0"))
         s = x.join(sigma.withColumnRenamed("src", "user_id"), "user_id", "left")
-        friends = edges.select("src", "dst").join(s.where("NOT fixed AND sigma IS NOT NULL").select(F.col("user_id").alias("src"), F.col("sigma").alias("su")), "src")
-        friends = friends.join(s.where("sigma IS NOT NULL").select(F.col("user_id").alias("dst"), "lat", "lon", F.col("sigma").alias("sf")), "dst")
+        friends = skew_safe_join(edges.select("src", "dst"), s.where("NOT fixed AND sigma IS NOT NULL").select(F.col("user_id").alias("src"), F.col("sigma").alias("su")), "src")
+        friends = skew_safe_join(friends, s.where("sigma IS NOT NULL").select(F.col("user_id").alias("dst"), "lat", "lon", F.col("sigma").alias("sf")), "dst")
         parts = friends.select(F.col("src").alias("user_id"), (1 / F.col("su") + 1 / F.col("sf")).alias("w"), "lat", "lon")
         if place is not None:
             at = place.join(s.where("sigma IS NOT NULL").select("user_id", "lat", "lon"), "user_id")

@@ -169,7 +169,7 @@ def vincenty_pairs(spark, d):
 
 
 def known_distance(spark, d):
-    a = gold_posts(spark, d).join(homes(spark, d).select("user_id", F.col("lat").alias("hlat"), F.col("lon").alias("hlon")), "user_id", "left")
+    a = datasets.skew_safe_left(gold_posts(spark, d), homes(spark, d).select("user_id", F.col("lat").alias("hlat"), F.col("lon").alias("hlon")), "user_id")
     km = geo.known_distance(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("hlat"), F.col("hlon")))
     return a.select("post_id", F.round(km, 6).alias("km"))
 
@@ -204,8 +204,13 @@ def curve_form(spark, d):
 
 
 def parsed_coordinates(spark, d):
-    p = geo.parse_coordinates(F.col("location"))
-    return first_posts(spark, d, "location").select("id", p.alias("p")).where("p IS NOT NULL").select("id", "p.lat", "p.lon")
+    """Points written out in two notations (decimals; degrees, minutes and seconds) and read again."""
+    part = lambda v, neg, pos: F.concat_ws(" ", F.format_string("%d°%d'%d\"", F.floor(F.abs(v)), F.floor(F.abs(v) * 60) % 60, F.floor(F.abs(v) * 3600) % 60), F.when(v < 0, neg).otherwise(pos))
+    lat, lon = F.col("lat"), F.col("lon")
+    decimals = F.concat(F.format_string("%.6f", lat), F.lit(", "), F.format_string("%.6f", lon))
+    written = F.when(F.col("post_id") % 2 == 0, decimals).otherwise(F.concat_ws(", ", part(lat, "S", "N"), part(lon, "W", "E")))
+    rows = gold_posts(spark, d).select("post_id", geo.parse_coordinates(written).alias("p"))
+    return rows.select("post_id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"))
 
 
 # Aggregates
@@ -316,11 +321,11 @@ def random_neighbor_whole(spark, d):
 
 
 def total_variation_whole(spark, d):
-    return methods.total_variation(cut(ties(spark, d)), homes(spark, d))
+    return methods.total_variation(cut(ties(spark, d)), homes(spark, d), kind="haversine")
 
 
 def gold_locations(spark, d):
-    return methods.gold_locations(table(spark, d, "posts"), ties(spark, d).select(F.col("src").alias("user_id")), places(spark, d), homes(spark, d))
+    return methods.gold_locations(table(spark, d, "posts"), ties(spark, d).select(F.col("src").alias("user_id")), places(spark, d), homes(spark, d), kind="haversine")
 
 
 def friend_vote(spark, d):
@@ -457,10 +462,10 @@ def cross_validate(spark, d):
 
 
 def cross_validate_whole(spark, d):
-    """All folds, the method with its own rounds and distance; without SQL."""
+    """All folds, the method with its own rounds."""
     gold = cut(datasets.assign_folds(gold_posts(spark, d), FOLDS))
     edges, home = cut(ties(spark, d)), cut(homes(spark, d))
-    return evaluation.cross_validate(gold, home, gold.select("post_id", "user_id"), lambda h: methods.spatial_label_propagation(edges, h), list(range(FOLDS)))
+    return evaluation.cross_validate(gold, home, gold.select("post_id", "user_id"), lambda h: methods.spatial_label_propagation(edges, h, kind="haversine"), list(range(FOLDS)))
 
 
 def home_locations(spark, d):
@@ -664,6 +669,55 @@ SQL = {
         SELECT user_id, lat, lon FROM (SELECT a.user_id, a.post_id, any_value(a.lat) AS lat, any_value(a.lon) AS lon FROM gold a JOIN gold b ON a.user_id = b.user_id WHERE a.user_id IN (SELECT user_id FROM cand) GROUP BY a.user_id, a.post_id
           QUALIFY row_number() OVER (PARTITION BY a.user_id ORDER BY round(sum({_km('a', 'b')}), 6), a.post_id) = 1)""",
 }
+_TV_WHOLE = _TV.replace("<= 2000", "<= 100")
+_LAST = f"""mine AS (SELECT TRY_CAST(user_id AS BIGINT) AS user_id, id, geo, place, location FROM posts WHERE id IS NOT NULL AND TRY_CAST(user_id AS BIGINT) IN (SELECT src FROM r)
+          QUALIFY row_number() OVER (PARTITION BY TRY_CAST(user_id AS BIGINT), id ORDER BY delivery_id) = 1),
+        lastp AS (SELECT *, len(geo.coordinates) = 2 AS pt, place.place_type = 'city' AS ct FROM mine QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id DESC) <= 10),
+        firsts AS (SELECT user_id, arg_min(geo.coordinates, id) FILTER (WHERE pt) AS point,
+          arg_min(concat_ws(chr(9), lower(place.full_name), lower(place.country)), id) FILTER (WHERE ct) AS place, bool_or(coalesce(pt, false)) AS has_point, bool_or(coalesce(ct, false)) AS has_place FROM lastp GROUP BY user_id),
+        bp AS (SELECT user_id, point[1] AS lat, point[2] AS lon FROM firsts WHERE point IS NOT NULL)"""
+_GOLD_LOCATIONS = f"""{_RECIP}, {_HOME}, {_KEYS}, {_LAST}, gl AS ({_canonical('bp', 'user_id')}
+        UNION ALL SELECT f.user_id, n.lat, n.lon FROM firsts f JOIN names n ON n.name = f.place WHERE f.point IS NULL AND f.place IS NOT NULL
+        UNION ALL SELECT f.user_id, h.lat, h.lon FROM firsts f JOIN h USING (user_id) WHERE f.point IS NULL AND f.place IS NULL)"""
+_NGRAMS = "[^\\p{L}\\p{N}''’-]+"
+
+
+def _tightness(n: int) -> str:
+    """CTEs loc0..locn: the located users after each round of social tightness."""
+    out = ["loc0 AS (SELECT user_id, lat, lon FROM h)"]
+    for i in range(n):
+        out.append(f"lt{i} AS (SELECT cl.src, CAST({_half(_km('x', 'y'))} AS BIGINT) AS d, {_half('s', 2)} AS s FROM cl JOIN loc{i} x ON x.user_id = src JOIN loc{i} y ON y.user_id = dst)")
+        out.append(f"sc{i} AS (SELECT src AS user_id, sum(p) AS score FROM lt{i} JOIN (SELECT d, s, count(*) / CAST((SELECT count(*) FROM lt{i}) AS DOUBLE) AS p FROM lt{i} GROUP BY d, s) USING (d, s) GROUP BY src)")
+        out.append(f"""loc{i + 1} AS (SELECT user_id, lat, lon FROM loc{i} UNION ALL SELECT src, lat, lon FROM (
+          SELECT r.src, r.dst, z.lat, z.lon, coalesce(round(sc{i}.score, 9), 0) AS best FROM r JOIN loc{i} z ON z.user_id = r.dst LEFT JOIN sc{i} ON sc{i}.user_id = r.dst
+          WHERE r.src NOT IN (SELECT user_id FROM loc{i}) QUALIFY row_number() OVER (PARTITION BY r.src ORDER BY best DESC, r.dst) = 1))""")
+    return ", ".join(out)
+
+
+SQL |= {
+    "parsed_coordinates": f"""WITH {_GOLD}, v AS (SELECT post_id, lat, lon, floor(abs(lat) * 3600) AS a, floor(abs(lon) * 3600) AS o FROM gold)
+        SELECT post_id, round(CASE WHEN post_id % 2 = 0 THEN round(lat, 6) ELSE a / 3600.0 * CASE WHEN lat < 0 THEN -1 ELSE 1 END END, 6) AS lat,
+        round(CASE WHEN post_id % 2 = 0 THEN round(lon, 6) ELSE o / 3600.0 * CASE WHEN lon < 0 THEN -1 ELSE 1 END END, 6) AS lon FROM v""",
+    "random_neighbor_whole": SQL["random_neighbor"].split("est0 AS")[0] + _rounds(SQL["random_neighbor"].split("new0 AS (")[1].split("), est1 AS")[0].replace("near0", "{near}").replace("0 * 15485863", "{i} * 15485863"), 4) + " SELECT user_id, lat, lon FROM est4",
+    "total_variation_whole": f"WITH {_RECIP}, {_HOME}, {_rounds(_TV_WHOLE, 4)} SELECT user_id, lat, lon FROM est4",
+    "gold_locations": f"WITH {_GOLD_LOCATIONS} SELECT user_id, lat, lon FROM gl",
+    "friend_vote_whole": f"""WITH {_GOLD_LOCATIONS}, v AS (SELECT r.src AS user_id, g.lat, g.lon, count(*) AS votes FROM r JOIN gl g ON g.user_id = r.dst WHERE r.src NOT IN (SELECT user_id FROM gl) GROUP BY 1, 2, 3
+              QUALIFY row_number() OVER (PARTITION BY r.src ORDER BY count(*) DESC, g.lat, g.lon) = 1)
+        SELECT user_id, lat, lon FROM gl UNION ALL SELECT user_id, lat, lon FROM v WHERE votes >= 2""",
+    "social_tightness_whole": f"WITH {_CLOSE}, {_tightness(3)} SELECT user_id, lat, lon FROM loc3",
+    "social_energy": f"""WITH {_RECIP}, {_TRI}, {_DEG}, {_HOME}, cl AS (SELECT t.src, t.dst, t.common / sqrt(CAST(x.degree * y.degree AS DOUBLE)) AS c FROM t JOIN deg x ON x.user_id = t.src JOIN deg y ON y.user_id = t.dst),
+        lt AS (SELECT cl.src, cl.c, {_half('c', 1)} AS s, {_km('x', 'y')} AS km FROM cl JOIN h x ON x.user_id = src JOIN h y ON y.user_id = dst),
+        g AS (SELECT src AS user_id, sum(-c * exp(-km / greatest(dr, 1e-6))) AS g FROM lt JOIN (SELECT s, avg(km) AS dr FROM lt GROUP BY s) USING (s) GROUP BY src),
+        cc AS (SELECT user_id, CASE WHEN degree > 1 THEN 3 * closed / (3 * closed + degree * (degree - 1) / 2.0 - closed) ELSE 0.0 END AS c FROM deg JOIN (SELECT src, CAST(sum(common) AS DOUBLE) / 2 AS closed FROM t GROUP BY src) ON src = user_id),
+        k AS (SELECT h.user_id, h.lat, h.lon, coalesce(g.g, 0) AS g, coalesce(cc.c, 0) AS c FROM h LEFT JOIN g USING (user_id) LEFT JOIN cc USING (user_id)),
+        n AS (SELECT r.src, r.dst, k.lat, k.lon, rank() OVER (PARTITION BY r.src ORDER BY round(k.g, 9)) AS rg, rank() OVER (PARTITION BY r.src ORDER BY round(-k.c, 9)) AS rc FROM r JOIN k ON k.user_id = r.dst WHERE r.src NOT IN (SELECT user_id FROM h))
+        SELECT user_id, lat, lon FROM h UNION ALL SELECT src, lat, lon FROM (SELECT *, round(exp(0.0 - rg - rc) / (1 + exp(0.0 - rg - rc)), 12) AS z FROM n QUALIFY row_number() OVER (PARTITION BY src ORDER BY z DESC, dst) = 1)""",
+    "toponym_ngrams": f"""WITH {_FIRST}, {_KEYS}, w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '{_NGRAMS}'), lambda x: x <> '') AS w FROM p WHERE text IS NOT NULL),
+        g AS (SELECT id, array_to_string(list_slice(w, CAST(i AS BIGINT), CAST(i + n - 1 AS BIGINT)), ' ') AS name FROM w, range(1, 4) q(n), LATERAL (SELECT unnest(range(1, greatest(len(w) - n + 2, 1))) AS i))
+        SELECT id, name, count(*) AS n FROM g WHERE name IN (SELECT name FROM names) GROUP BY id, name""",
+    "score_report": f"SELECT auc, post_coverage, user_coverage, median_max FROM ({SQL['error_auc']}), (SELECT round(post_coverage, 6) AS post_coverage, round(user_coverage, 6) AS user_coverage FROM ({SQL['coverage']})), ({SQL['median_max_error']})",
+}
+
 _CV = "".join(
     f", m{k} AS (SELECT user_id, lat, lon FROM h WHERE user_id NOT IN (SELECT user_id FROM folds WHERE fold = {k})), nb{k} AS (SELECT r.src, r.dst, x.lat, x.lon FROM r JOIN m{k} x ON x.user_id = r.dst WHERE r.src NOT IN (SELECT user_id FROM m{k})), est{k} AS (SELECT * FROM m{k} UNION ALL "
     + _MEDOID.format(w="1.0").format(near=f"nb{k}")
@@ -671,3 +725,9 @@ _CV = "".join(
     for k in (0, 1)
 )
 SQL["cross_validate"] = f"WITH {_GOLD}, {_FOLDS}, {_HOME}, {_RECIP}{_CV} " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS fold, g.post_id, g.user_id, x.lat, x.lon FROM gold g JOIN folds f ON f.user_id = g.user_id AND f.fold = {k} JOIN est{k} x ON x.user_id = g.user_id" for k in (0, 1))
+_CV_WHOLE = "".join(
+    f", m{k} AS (SELECT user_id, lat, lon FROM h WHERE user_id NOT IN (SELECT user_id FROM folds WHERE fold = {k})), "
+    + _rounds(_MEDOID.format(w="1.0"), 5).replace("FROM h)", f"FROM m{k})").replace("SELECT user_id FROM h", f"SELECT user_id FROM m{k}").replace("est", f"est_{k}_").replace("near", f"near_{k}_").replace("new", f"new_{k}_")
+    for k in range(FOLDS)
+)
+SQL["cross_validate_whole"] = f"WITH {_GOLD}, {_FOLDS}, {_HOME}, {_RECIP}{_CV_WHOLE} " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS fold, g.post_id, g.user_id, x.lat, x.lon FROM gold g JOIN folds f ON f.user_id = g.user_id AND f.fold = {k} JOIN est_{k}_5 x ON x.user_id = g.user_id" for k in range(FOLDS))

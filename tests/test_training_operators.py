@@ -15,6 +15,12 @@ def km(a, b):
     return 2 * 6371.0 * math.asin(math.sqrt(min(1, h)))
 
 
+@pytest.fixture(autouse=True)
+def no_table_is_small(monkeypatch):
+    """The fixtures are tiny: take the way of large tables."""
+    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+
+
 # salted aggregation
 
 
@@ -47,6 +53,39 @@ def test_skew_safe_join_keeps_all_rows(spark):
     assert got.count() == 101 and got.where("w = 'two'").count() == 1
 
 
+def test_heavy_keys_by_share_and_by_number(spark):
+    df = spark.createDataFrame([(1,)] * 60 + [(2,)] * 4 + [(i,) for i in range(10, 46)] + [(None,)] * 900, "k bigint")
+    assert skew.heavy_candidates(df, "k", 0.3) == [1]
+    assert sorted(skew.heavy_candidates(df, "k", 0.3, rows=3)) == [1, 2]  # 4 of 100 rows are no large share
+    assert skew.heavy_candidates(df.limit(0), "k") == []
+
+
+def test_skew_safe_left_semi_and_anti(spark):
+    left = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 0), (2, 0), (3, 0)] + [(None, i) for i in range(50)], "k bigint, w bigint")
+    right = spark.createDataFrame([(1, "one"), (2, "two"), (None, "none")], "k bigint, v string")
+    joined = skew.skew_safe_left(left, right, "k")
+    assert joined.columns == ["k", "w", "v"] and sorted(map(str, joined.collect())) == sorted(map(str, left.join(right, "k", "left").collect()))
+    twice = right.unionByName(right)
+    for anti in (False, True):
+        got = skew.skew_safe_semi(left, twice, "k", anti=anti)
+        assert got.columns == left.columns and sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", "left_anti" if anti else "left_semi").collect()))
+        assert skew.skew_safe_semi(left.limit(0), twice, "k", anti=anti).collect() == []
+
+
+def test_a_key_with_half_of_the_rows_fills_no_task(spark):
+    left = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 4 == 1, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(40_000).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for joined, rows in ((skew.skew_safe_left(left, right, "k"), 40_000), (skew.skew_safe_join(left, right, "k"), 30_000), (skew.skew_safe_semi(left, right, "k"), 30_000)):
+            sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == rows and max(sizes) <= 2 * rows / 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # deliveries
 
 
