@@ -1,5 +1,6 @@
 """The llm operators: round trips, brute force, held-out accuracy, and the odd cases of each."""
 
+import os
 import random
 from collections import Counter
 from itertools import product
@@ -270,7 +271,7 @@ CLEAN = ["Où êtes-vous ? Le café près de l’hôtel est fermé.", "Señal d
 @pytest.fixture(scope="module")
 def model(spark):
     rows = [(i, CLEAN[i % 8]) for i in range(400)]
-    return garbled.fitted(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    return garbled.fitted(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")[0]
 
 
 def test_clean_texts_are_no_cases(model):
@@ -295,7 +296,10 @@ def test_garbled_texts_are_found_and_restored(model, chain):
 
 
 def test_lost_characters_are_cases(model):
-    assert model.is_garbled("A na�ve tourist") and model.is_garbled("moving to Yeni K?rr??anp?nar soon") and not model.is_garbled("really?yes is fine http://a.b/c?d" if False else "really? yes")
+    assert model.is_garbled("Ma�ana va a llover") and model.is_garbled("Schöne Gr??e") and model.is_garbled("ganz sch?ne M?hle")
+    assert not model.is_garbled("really?yes is fine http://a.b/c?d") and not model.is_garbled("What?No way, really?I think so")
+    assert not model.is_garbled("the sign � alone") and not model.is_garbled("???")
+    assert model.lost("Ma�ana") and not model.lost("mañana � ?")
 
 
 def test_garbled_over_a_table(spark):
@@ -307,14 +311,30 @@ def test_garbled_over_a_table(spark):
     assert garbled.find_garbled(df.limit(0), "doc_id", "text").collect() == []
 
 
-def test_margin_is_validated_on_long_texts_too(spark):
-    r = random.Random(4)
-    texts = [" ".join("".join(r.choice("abcdeéèüößñ") for _ in range(6)) for _ in range(700)) for _ in range(2)]
-    assert min(map(len, texts)) > 4000
-    model = garbled.fitted(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text")
-    per_text = [{w for w in garbled.foreign_words(t) if garbled.trained_on(w)} for t in texts]
-    left = [model.best(w)[0] for ws in per_text for w in ws]
-    made = [garbled.garble(w, garbled.CHAINS[garbled.zlib.crc32(w.encode()) % len(garbled.CHAINS)]) for w in set.union(*per_text)]
-    wrong = [model.best(g)[0] for g in made if g and not g.isascii()]
-    want = min([3 + x / 4 for x in range(37)], key=lambda m: (sum(g <= m for g in wrong) / len(wrong) + sum(g > m for g in left) / len(left), -m))
-    assert model.margin == want != garbled.Model({}).margin
+def test_limits_have_the_fewest_errors():
+    at = lambda gain, mean: (garbled.bisect_left(garbled.GAINS, gain), garbled.bisect_left(garbled.MEANS, mean))
+    rows = [("clean", 2.0, -3.0, 50), ("clean", 0.0, -9.0, 950), ("garbled", 9.0, -3.0, 90), ("garbled", 2.1, -3.0, 10), ("scrap", 20.0, -5.1, 5), ("lost", 7.0, -3.0, 9), ("joined", 3.1, -3.0, 4), ("joined", -2.0, -4.0, 6)]
+    got = garbled.best_limits({(k, *at(g, m)): n for k, g, m, n in rows}, 100)
+    assert got == garbled.Limits(2.0, -3.25, 6.75, -3.25)  # the strictest of those without an error
+    assert garbled.best_limits({}, 0) == garbled.START
+
+
+def test_restored_texts_are_exact(spark):
+    """Each text of the smallest table that is no case, garbled by a chain and restored, is the text again, for nine in ten."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path)
+    model, words = garbled.fitted(docs, "doc_id", "text")
+    bad = {r[0] for r in garbled._holding(docs, "doc_id", "text", model, words).collect()}
+    texts = sorted({r["text"][:3000] for r in docs.collect() if r["text"] and not r["text"].isascii() and r["doc_id"] not in bad})
+    made = [(t, w) for i, t in enumerate(texts) for chain in [garbled.CHAINS[i % garbled.UTF8_CHAINS]] if (w := garbled.garble(t, chain)) and garbled.apply(w, chain) == t]
+    assert len(made) > 20 and sum(model.restore(w) == t for t, w in made) >= 0.9 * len(made)
+    assert sum(model.is_garbled(w) for _, w in made) >= 0.95 * len(made)
+
+
+def test_hot_words_and_odd_rows_over_a_table(spark):
+    wrong = garbled.garble(CLEAN[3], (("cp1252", "utf-8"),))
+    rows = [(i, CLEAN[i % 8] if i % 3 else wrong) for i in range(300)] + [(900, None), (901, ""), (902, " \n\t"), (903, "x" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("w", F.lit("clash")).withColumn("n", F.lit(1))
+    assert {r["doc_id"] for r in garbled.find_garbled(df, "doc_id", "text").collect()} == {i for i in range(300) if i % 3 == 0}
