@@ -325,8 +325,8 @@ def test_restored_texts_are_exact(spark):
     if not os.path.exists(path):
         pytest.skip("no test tables")
     docs = spark.read.parquet(path)
-    model, words = garbled.fitted(docs, "doc_id", "text")
-    bad = {r[0] for r in garbled._holding(docs, "doc_id", "text", model, words).collect()}
+    model, words, shared = garbled.fitted(docs, "doc_id", "text")
+    bad = {r[0] for r in garbled._holding(docs, "doc_id", "text", model, words, shared).collect()}
     texts = sorted({r["text"][:3000] for r in docs.collect() if r["text"] and not r["text"].isascii() and r["doc_id"] not in bad})
     made = [(t, w) for i, t in enumerate(texts) for chain in [garbled.CHAINS[i % garbled.UTF8_CHAINS]] if (w := garbled.garble(t, chain)) and garbled.apply(w, chain) == t]
     assert len(made) > 20 and sum(model.restore(w) == t for t, w in made) >= 0.9 * len(made)
