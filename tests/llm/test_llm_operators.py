@@ -127,6 +127,43 @@ def test_values_are_matched_once_each(spark):
     assert canonical.match_values(values.limit(0), "id", "location", entries, codes).collect() == []
 
 
+GAZETTEER, VALUE = "place_id bigint, city string, region string, country string, alt_names string", "id bigint, location string"
+
+
+def test_joins_and_blocks_equal_the_plain_way(spark):
+    r = random.Random(8)
+    names = ["Montvimargnac", "Saint Oskmere", "Saint Olbrack", "Port Quillan", "Twinford", "Twinbrook", "Łukmiczany", "New Tresham", "Grenholm", "Alderby"]
+    entries = [(i, n, region, country, alt) for i, (n, region, country, alt) in enumerate([(n, *w, None) for n in names for w in (("Alder", "Averland"), ("Vilmont", "Ostrelle"))][:17] + [("Haxby", "Birch", "Averland", "Haxbury|Old Haxby"), ("Ely", None, None, ""), (None, "Birch", "Averland", None), ("Grenholm", "Birch", "Averland", None)])]
+    codes = [("Alder", "AL", "Averland"), ("Birch", "BI", "Averland"), ("Vilmont", "VM", "Ostrelle")]
+
+    def mistyped(t):
+        for _ in range(r.choice([0, 1, 1, 2])):
+            i = r.randrange(len(t))
+            t = r.choice([t[:i] + t[i + 1 :], t[:i] + r.choice("aeinrs") + t[i:], t[:i] + r.choice("xyz") + t[i + 1 :], t[: i + 1] + t[i:]]) or t
+        return t
+
+    values = [r.choice(["", "near ", "living in "]) + mistyped(r.choice([*names, "Haxby", "Haxbury", "Ely"])) + r.choice(["", "", ", Alder", " AL", ", Averland", ", Ostrelle", " VM", " Birch"]) for _ in range(220)]
+    values += ["St Oskmere", "S. Oskmere", "P Quillan", "SaintOskmere", "Twin ford, AL", "Tw inbrok", "Montvimarrrrgnac", "Averland", "BI", "x", "  ", None, "🌍", "Old Haxby Birch"]
+    plain = canonical.Gazetteer(entries, codes)
+    want = {i: plain.match(v) for i, v in enumerate(values) if v and v.strip()}
+    tables = spark.createDataFrame(entries, GAZETTEER), spark.createDataFrame(codes, "name string, abbreviation string, country string")
+    asked = spark.createDataFrame(list(enumerate(values)), VALUE)
+    assert {x["id"]: x["place_id"] for x in canonical.match_values(asked, "id", "location", *tables).collect()} == want
+    assert {x["id"]: x["place_id"] for x in canonical.match_values(asked, "id", "location", *tables, block=7).collect()} == want
+    assert canonical.match_values(asked, "id", "location", tables[0].limit(0), tables[1]).where("place_id >= 0").count() == 0
+
+
+def test_a_list_of_fifty_thousand_entries(spark):
+    r = random.Random(9)
+    made = sorted({"".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(5)).capitalize() for _ in range(51_000)})[:50_000]
+    entries = spark.createDataFrame([(i, n, "Alder", "Averland", None) for i, n in enumerate(made)], GAZETTEER)
+    codes = spark.createDataFrame([("Alder", "AL", "Averland")], "name string, abbreviation string, country string")
+    picked = [r.randrange(50_000) for _ in range(40)]
+    values = [(k, f"{made[i]}, Alder") for k, i in enumerate(picked)] + [(100, "Qqqqqqqqqq"), (101, "Averland")]
+    got = {x["id"]: x["place_id"] for x in canonical.match_values(spark.createDataFrame(values, VALUE), "id", "location", entries, codes).collect()}
+    assert got == {**dict(enumerate(picked)), 100: -1, 101: -1}
+
+
 # splits
 
 
