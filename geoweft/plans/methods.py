@@ -8,7 +8,7 @@ and ends in the shared checkpoint folder. Ties go to the smallest neighbour id.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from ..functions.curves import city_bin, fit_power_law, power_law, rank_logistic, triad_bin
 from ..functions.geo import MILES_PER_KM, haversine_km, np_haversine_km, round_half_up
 from ..operators.aggregates import by_group, medoids, modes, quantile_bounds
-from ..operators.datasets import global_index, top_per_key
+from ..operators.datasets import global_index, infer_posts, top_per_key
 from ..operators.deliveries import keep_first
 from ..operators.gazetteer import TAB, canonicalize, geocode, geocode_noisy, names
 from ..operators.graph import degree, neighbours, reciprocal, triangle_list, triangles
-from ..operators.skew import skew_safe_join, skew_safe_semi
+from ..operators.skew import skew_safe_join, skew_safe_left, skew_safe_semi
 from ..operators.toponyms import toponyms
 from ..session import cut
+from ..sources import readers, writers
 
 
 def constant_baseline(users: DataFrame, lat: float = -6.2, lon: float = 106.8) -> DataFrame:
@@ -457,3 +458,39 @@ def train(name: str, inputs: Inputs) -> DataFrame:
     if name not in METHODS:
         raise KeyError(f"unknown method {name}; known are {', '.join(sorted(METHODS))}")
     return METHODS[name](inputs)
+
+
+class Method:
+    """A method as an object: fit, save, load, and infer by post or by user."""
+
+    def __init__(self, name: str, settings: dict | str | None = None) -> None:
+        """``settings``: the method's parameters, or the path of a JSON file that holds them."""
+        if name not in METHODS:
+            raise KeyError(f"unknown method {name}; known are {', '.join(sorted(METHODS))}")
+        self.name, self.settings = name, readers.read_settings(settings) if isinstance(settings, str) else dict(settings or {})
+        self.model: DataFrame | None = None
+
+    def fit(self, inputs: Inputs) -> Method:
+        self.model = cut(METHODS[self.name](replace(inputs, settings=inputs.settings | self.settings)))
+        return self
+
+    def save(self, path: str | None, force: bool = False) -> None:
+        writers.write_model(self._fitted(), path, force)
+
+    def load(self, spark: SparkSession, path: str) -> Method:
+        self.model = readers.read_model(spark, path)
+        return self
+
+    def infer_posts(self, posts: DataFrame) -> DataFrame:
+        """post_id, user_id, lat, lon of ``posts`` (post_id, user_id) whose author has a location."""
+        return infer_posts(posts, self._fitted())
+
+    def infer_users(self, records: DataFrame, key: str = "user_id") -> DataFrame:
+        """``records`` with the array ``locations``, as long as ``posts``: the owner's point, or null, for each post."""
+        point = self._fitted().select(F.col("user_id").alias(key), F.struct("lat", "lon").alias("__p"))
+        return skew_safe_left(records, point, key).withColumn("locations", F.transform("posts", lambda p: F.col("__p"))).drop("__p")
+
+    def _fitted(self) -> DataFrame:
+        if self.model is None:
+            raise ValueError(f"{self.name} has no model yet: fit or load one")
+        return self.model

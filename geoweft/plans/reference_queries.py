@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import curves, geo, text
 from ..operators import aggregates, datasets, gazetteer, graph, toponyms
 from ..operators.deliveries import keep_first
-from ..session import cut, table
+from ..session import cut, scratch, table
+from ..sources import readers, writers
 from . import evaluation, methods
 from .training_queries import _POINTS, post_point
 
@@ -472,7 +473,75 @@ def home_locations(spark, d):
     return evaluation.home_locations(_user_points(spark, d).drop("weight"), "haversine")
 
 
+# Files, written and read again
+
+
+def stored_users(spark, d):
+    """User records as JSON lines of the users in the network, read again and flattened to posts."""
+    path, users = scratch(spark), table(spark, d, "users").select(F.col("user_id").try_cast("bigint").alias("key"), "user_id", "posts")
+    writers.write_network_users(users.where("key IS NOT NULL"), "key", ties(spark, d), path)
+    return datasets.flatten_records(readers.read_users(spark, path), "user_id").select("user_id", "id", F.md5("text").alias("digest"))
+
+
+def stored_sparse_users(spark, d):
+    path = scratch(spark)
+    sparse = datasets.sparse_posts(first_posts(spark, d, "user_id", "text", "location", "geo", "mentions", "hashtags", "retweeted_status", "place")).where("user_id IS NOT NULL")
+    writers.write_sparse_users(datasets.user_records(sparse, "user_id", "post_id", [c for c in sparse.columns if c != "user_id"]), path)
+    return readers.read_sparse_users(spark, path).select("user_id", "id", F.md5("text").alias("text"), F.md5("location").alias("location"), "lat", "lon", F.array_join(F.col("mentions").cast("array<string>"), " ").alias("mentions"), "is_retweet", F.col("place").isNotNull().alias("has_place"))
+
+
+def stored_edges(spark, d):
+    path = scratch(spark)
+    writers.write_edges(network(spark, d), path, weighted=True)
+    return readers.read_edges(spark, path, weighted=True)
+
+
+def stored_model(spark, d):
+    path = f"{scratch(spark)}.tsv.gz"
+    writers.write_model(homes(spark, d), path)
+    return readers.read_model(spark, path)
+
+
+def stored_homes(spark, d):
+    """Homes as lines, read again without the users of fold 0."""
+    path = f"{scratch(spark)}.tsv.gz"
+    writers.write_model(homes(spark, d), path)
+    return readers.read_homes(spark, path, held_out(spark, d))
+
+
+def stored_folds(spark, d):
+    """Fold files by their manifest; each post once, with the numbers of its fold's posts and users from the id files."""
+    folder = scratch(spark)
+    records = table(spark, d, "users").select(F.col("user_id").try_cast("bigint").alias("user_id"), "posts").where("user_id IS NOT NULL")
+    writers.write_fold_files(datasets.assign_folds(gold_posts(spark, d), FOLDS), records, "user_id", folder)
+    sizes = None
+    for fold in range(FOLDS):
+        n = [readers.read_held_out(spark, folder, fold, what).agg(F.count(F.lit(1)).alias(f"{what}s")).withColumn("fold", F.lit(fold)) for what in ("post", "user")]
+        both = n[0].join(n[1], "fold")
+        sizes = both if sizes is None else sizes.unionByName(both)
+    return readers.read_fold_files(spark, folder).join(F.broadcast(sizes), "fold").select("post_id", "user_id", "lat", "lon", "fold", "posts", "users")  # sizes: one row a fold
+
+
+def stored_predictions(spark, d):
+    """Predictions of each fold as result files, read again; the file of fold 5 does not exist."""
+    folder = scratch(spark)
+    folds = datasets.assign_folds(gold_posts(spark, d), FOLDS).select("post_id", "fold")
+    rows = predictions(spark, d).join(folds, "post_id")
+    writers.write_fold_predictions(rows, folder, list(range(FOLDS)))
+    return readers.read_fold_predictions(spark, folder, [*range(FOLDS), FOLDS]).select("fold", "post_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+def stored_gazetteer(spark, d):
+    """The gazetteer in a format with quoted cells, read again and turned into names."""
+    path = scratch(spark)
+    rows = table(spark, d, "gazetteer").where("city IS NOT NULL").select("lat", "lon", "country", "region", F.concat("city", F.lit(", town")).alias("city"))
+    rows.write.csv(path, quoteAll=True)
+    back = readers.read_gazetteer(spark, path, "geolite")
+    return back.groupBy("city", "region", "country").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("lat"), 6).alias("lat"), F.round(F.min("lon"), 6).alias("lon"))
+
+
 _NAMES = """
+stored_users stored_sparse_users stored_edges stored_model stored_homes stored_folds stored_predictions stored_gazetteer
 extract_mentions mention_edges mention_edges_weighted bi_mention_edges bi_mention_directed_weighted bi_mention_weighted degree
 social_triangles users_in_network clustering_coefficient posts_to_users last_n_posts sparsify_posts create_folds mask_holdout
 infer_by_post infer_by_user haversine_pairs vincenty_pairs known_distance valid_coord wrap_coord round_half_up bins curve_form
@@ -731,3 +800,15 @@ _CV_WHOLE = "".join(
     for k in range(FOLDS)
 )
 SQL["cross_validate_whole"] = f"WITH {_GOLD}, {_FOLDS}, {_HOME}, {_RECIP}{_CV_WHOLE} " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS fold, g.post_id, g.user_id, x.lat, x.lon FROM gold g JOIN folds f ON f.user_id = g.user_id AND f.fold = {k} JOIN est_{k}_5 x ON x.user_id = g.user_id" for k in range(FOLDS))
+SQL |= {
+    "stored_users": f"WITH {_RECIP} SELECT user_id, p.id AS id, md5(p.text) AS digest FROM (SELECT user_id, unnest(posts) AS p FROM users WHERE TRY_CAST(user_id AS BIGINT) IN (SELECT src FROM r))",
+    "stored_sparse_users": f"""WITH {_FIRST} SELECT TRY_CAST(user_id AS BIGINT) AS user_id, id, {_SQUASHED.format("coalesce(text, '')", 'md5')} AS text, {_SQUASHED.format("coalesce(location, '')", 'md5')} AS location,
+        CASE WHEN len(geo.coordinates) = 2 AND geo.coordinates[2] IS NOT NULL THEN geo.coordinates[1] END AS lat, CASE WHEN len(geo.coordinates) = 2 AND geo.coordinates[1] IS NOT NULL THEN geo.coordinates[2] END AS lon,
+        coalesce(array_to_string(list_filter(list_transform(mentions, lambda m: TRY_CAST(m AS BIGINT)), lambda m: m IS NOT NULL), ' '), '') AS mentions, retweeted_status IS NOT NULL AS is_retweet, place IS NOT NULL AS has_place FROM p WHERE TRY_CAST(user_id AS BIGINT) IS NOT NULL""",
+    "stored_edges": f"WITH {_NET} SELECT src, dst, weight FROM e",
+    "stored_model": f"WITH {_HOME} SELECT user_id, lat, lon FROM h",
+    "stored_homes": f"WITH {_GOLD}, {_FOLDS}, {_HOME} SELECT user_id, lat, lon FROM h WHERE user_id NOT IN (SELECT user_id FROM folds WHERE fold = 0)",
+    "stored_folds": f"WITH {_GOLD}, {_FOLDS}, g AS (SELECT post_id, user_id, lat, lon, fold FROM gold JOIN folds USING (user_id)) SELECT g.*, n.posts, n.users FROM g JOIN (SELECT fold, count(*) AS posts, count(DISTINCT user_id) AS users FROM g GROUP BY fold) n USING (fold)",
+    "stored_predictions": f"WITH {_GOLD}, {_FOLDS}, {_HOME} SELECT fold, post_id, round(h.lat, 6) AS lat, round(h.lon, 6) AS lon FROM gold JOIN folds USING (user_id) JOIN h USING (user_id)",
+    "stored_gazetteer": "SELECT city || ', town' AS city, region, country, count(*) AS n, round(min(lat), 6) AS lat, round(min(lon), 6) AS lon FROM gazetteer WHERE city IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL GROUP BY city, region, country",
+}

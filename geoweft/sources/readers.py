@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -45,8 +46,9 @@ def read_table(spark: SparkSession, path: str, columns: str, separator: str = "\
     fields = [c.split() for c in columns.split(", ")]
     cells = F.split("value", separator.replace("|", "\\|"), -1)
     lines = spark.read.text(path)
-    if skip:  # header lines hold no number where a number is asked for, and so drop out below as well
-        lines = lines.where(~F.lower("value").startswith("locid") & ~F.lower("value").startswith("copyright"))
+    if skip:  # the first lines of each file, by position
+        lines = lines.select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("at"))
+        lines = lines.withColumn("r", F.rank().over(Window.partitionBy("f").orderBy("at"))).where(F.col("r") > skip).select("value")
     typed = lines.where(F.size(cells) == len(fields)).select(*[F.get(cells, F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(fields)])
     numbers = [name for name, kind in fields if kind in ("bigint", "double", "int")]
     return typed.where(" AND ".join(f"{n} IS NOT NULL" for n in numbers)) if numbers else typed
@@ -85,9 +87,11 @@ def read_gazetteer(spark: SparkSession, path: str, source: str = "geonames") ->
     if source not in GAZETTEERS:
         raise ValueError(f"unknown gazetteer {source}; known are {', '.join(sorted(GAZETTEERS))}")
     separator, order = GAZETTEERS[source]
-    cells = F.split("value", separator, -1)
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("place_id"), cells.alias("c"))
-    clean = lambda name: F.trim(F.regexp_replace(F.get("c", F.lit(order.index(name))), '^"|"$', ""))
+    schema = ", ".join(f"c{i} string" for i in range(len(order)))
+    # tab-parted files know no quotes; in comma-parted ones a quoted cell may hold commas
+    line = F.from_csv("value", schema, {"sep": separator, "quote": '"' if separator == "," else "\u0000", "mode": "PERMISSIVE"})
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("place_id"), line.alias("c"))
+    clean = lambda name: F.trim(F.regexp_replace(F.col(f"c.c{order.index(name)}"), '^"|"$', ""))
     out = rows.select("place_id", *[clean(n).alias(n) for n in ("city", "region", "country")], *[clean(n).try_cast("double").alias(n) for n in ("lat", "lon")])
     out = out.where("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)")
     return out.withColumn("region", F.explode(F.split("region", r"\|"))) if source == "dbpedia" else out
@@ -122,3 +126,34 @@ def read_settings(path: str) -> dict:
 def read_folds(spark: SparkSession, folder: str) -> DataFrame:
     """The gold table of a fold set: post_id, user_id, lat, lon, fold."""
     return spark.read.schema("post_id BIGINT, user_id BIGINT, lat DOUBLE, lon DOUBLE, fold INT").parquet(f"{folder}/gold")
+
+
+def read_fold_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The gold posts of a folder of fold files, by its manifest ``folds.info.tsv``: post_id, user_id, lat, lon, fold."""
+    out = None
+    for fold in sorted(r["fold"] for r in read_table(spark, f"{folder}/folds.info.tsv", "fold int, posts string, users string, records string").collect()):
+        part = read_gold(spark, f"{folder}/fold_{fold}.gold-locations.tsv").withColumn("fold", F.lit(fold))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"no folds in {folder}")
+    return out
+
+
+def read_held_out(spark: SparkSession, folder: str, fold: int, what: str = "user") -> DataFrame:
+    """The ids of a fold's held-out users, or posts (``what="post"``)."""
+    return read_table(spark, f"{folder}/fold_{fold}.{what}-ids.txt", f"{what}_id bigint")
+
+
+def read_fold_predictions(spark: SparkSession, folder: str, folds: list[int]) -> DataFrame:
+    """fold, post_id, lat, lon of the result files of each fold; a missing file counts as empty, of repeated posts the last line holds."""
+    out = spark.createDataFrame([], "fold int, post_id bigint, lat double, lon double")
+    for fold in folds:
+        try:
+            rows = read_predictions(spark, f"{folder}/fold_{fold}.results.tsv.gz").withColumn("at", F.monotonically_increasing_id())
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            continue
+        last = rows.groupBy("post_id").agg(F.max_by(F.struct("lat", "lon"), "at").alias("p"))
+        out = out.unionByName(last.select(F.lit(fold).alias("fold"), "post_id", "p.lat", "p.lon"))
+    return out

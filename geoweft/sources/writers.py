@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squash
+from ..operators.graph import in_network
+from ..operators.skew import skew_safe_semi
 
 
 def _mode(force: bool) -> str:
@@ -60,3 +62,36 @@ def write_folds(gold: DataFrame, folder: str, force: bool = False) -> None:
 
 def write_report(score: DataFrame, path: str, force: bool = False) -> None:
     score.write.mode(_mode(force)).json(path)
+
+
+def write_network_users(users: DataFrame, key: str, edges: DataFrame, path: str, force: bool = False) -> None:
+    """The user records whose user has an edge, as gzipped JSON lines."""
+    write_users(in_network(users, key, edges), path, force)
+
+
+def write_fold_files(gold: DataFrame, records: DataFrame, key: str, folder: str, force: bool = False) -> None:
+    """Per fold: ids of its gold posts and users, its gold locations, and the records of its users; and a manifest ``folds.info.tsv``.
+
+    ``gold``: post_id, user_id, lat, lon, fold. The few folds are written one after another.
+    """
+    mode, names = _mode(force), []
+    for fold in sorted(r[0] for r in gold.select("fold").distinct().collect()):
+        mine, stem = gold.where(F.col("fold") == fold), f"fold_{fold}"
+        users = mine.select("user_id").distinct()
+        mine.select(F.col("post_id").cast("string")).distinct().write.mode(mode).text(f"{folder}/{stem}.post-ids.txt")
+        users.select(F.col("user_id").cast("string")).write.mode(mode).text(f"{folder}/{stem}.user-ids.txt")
+        mine.select("post_id", "user_id", "lat", "lon").write.mode(mode).csv(f"{folder}/{stem}.gold-locations.tsv", sep="\t")
+        write_users(skew_safe_semi(records, users.select(F.col("user_id").alias(key)), key), f"{folder}/{stem}.users.json.gz", force)
+        names.append((fold, f"{stem}.post-ids.txt", f"{stem}.user-ids.txt", f"{stem}.users.json.gz"))
+    gold.sparkSession.createDataFrame(names, "fold int, posts string, users string, records string").coalesce(1).write.mode(mode).csv(f"{folder}/folds.info.tsv", sep="\t")
+
+
+def write_fold_predictions(predictions: DataFrame, folder: str, folds: list[int], force: bool = False) -> None:
+    """``fold, post_id, lat, lon`` as one result file per fold."""
+    for fold in folds:
+        write_predictions(predictions.where(F.col("fold") == fold), f"{folder}/fold_{fold}.results.tsv.gz", force=force)
+
+
+def write_error_sample(sample: DataFrame, path: str, force: bool = False) -> None:
+    """``post_id, km, lat, lon`` of sampled errors, tab-parted."""
+    sample.select("post_id", "km", "lat", "lon").write.mode(_mode(force)).csv(path, sep="\t")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoweft.operators import datasets
+from geoweft.plans import methods
 from geoweft.sources import readers, writers
 from geoweft.streaming import posts as streams
 
@@ -66,6 +67,47 @@ def test_gazetteer_files(spark, tmp_path):
     assert readers.read_abbreviations(spark, str(tmp_path / "s.csv")) == {"OH": "Ohio"}
 
 
+def test_quoted_cells_of_a_gazetteer(spark, tmp_path):
+    (tmp_path / "g.csv").write_text('Copyright (c) nobody\nlat,lon,country,region,city\n1.5,2.5,"AA","B, east","Old, Town"\n3.0,4.0,AA,B,Plain\n')
+    got = [tuple(r)[1:] for r in readers.read_gazetteer(spark, str(tmp_path / "g.csv"), "geolite").orderBy("lat").collect()]
+    assert got == [("Old, Town", "B, east", "AA", 1.5, 2.5), ("Plain", "B", "AA", 3.0, 4.0)]
+
+
+def test_first_lines_are_skipped_by_position(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("1\t2.0\n5\t6.0\n7\t8.0\n")
+    assert sorted(tuple(r) for r in readers.read_table(spark, str(tmp_path / "t.tsv"), "a bigint, b double", skip=1).collect()) == [(5, 6.0), (7, 8.0)]
+
+
+def test_predictions_of_folds(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 1, 1.0, 2.0), (0, 2, None, 2.0), (2, 3, 5.0, 6.0)], "fold int, post_id bigint, lat double, lon double")
+    writers.write_fold_predictions(rows, str(tmp_path / "f"), [0, 2])
+    assert sorted(tuple(r) for r in readers.read_fold_predictions(spark, str(tmp_path / "f"), [0, 1, 2]).collect()) == [(0, 1, 1.0, 2.0), (2, 3, 5.0, 6.0)]
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "fold_0.results.tsv.gz").mkdir()
+    (tmp_path / "g" / "fold_0.results.tsv.gz" / "part.csv").write_text("9\t1.0\t1.0\n9\t2.0\t2.0\n")
+    assert [tuple(r) for r in readers.read_fold_predictions(spark, str(tmp_path / "g"), [0]).collect()] == [(0, 9, 2.0, 2.0)]
+    with pytest.raises(Exception, match="exist"):
+        writers.write_fold_predictions(rows, str(tmp_path / "f"), [0])
+
+
+def test_a_method_is_fitted_saved_and_loaded(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (2, 3, 1), (3, 2, 1)], "src bigint, dst bigint, weight bigint")
+    home = spark.createDataFrame([(1, 10.0, 20.0)], "user_id bigint, lat double, lon double")
+    (tmp_path / "settings.json").write_text('{"rounds": 1}')
+    method = methods.Method("spatial_label_propagation", str(tmp_path / "settings.json"))
+    with pytest.raises(ValueError):
+        method.save(str(tmp_path / "none"))
+    method.fit(methods.Inputs(spark, None, edges, edges, home, None)).save(str(tmp_path / "m.tsv.gz"))
+    again = methods.Method("spatial_label_propagation").load(spark, str(tmp_path / "m.tsv.gz"))
+    posts = spark.createDataFrame([(7, 2), (8, 3), (9, None)], "post_id bigint, user_id bigint")
+    assert [tuple(r) for r in again.infer_posts(posts).collect()] == [(7, 2, 10.0, 20.0)]  # one round reaches user 2 only
+    records = spark.createDataFrame([(2, [1, 2]), (3, [5])], "user_id bigint, posts array<bigint>")
+    got = {r["user_id"]: [x and tuple(x) for x in r["locations"]] for r in again.infer_users(records).collect()}
+    assert got == {2: [(10.0, 20.0)] * 2, 3: [None]}
+    with pytest.raises(KeyError):
+        methods.Method("none")
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(1, "5", "2024-01-01 00:00:00", ["6", "6"]), (1, "5", "2024-01-01 01:00:00", ["6"]), (2, "9", "2024-01-02 00:00:00", None), (None, "5", "2024-01-02 00:00:00", [])], "id bigint, user_id string, received_at string, mentions array<string>")
     rows.withColumn("received_at", F.col("received_at").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in"))
