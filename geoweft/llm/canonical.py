@@ -274,7 +274,8 @@ def repairs(tokens: DataFrame, vocabulary: DataFrame, leading: DataFrame) -> Dat
     """
     spark = tokens.sparkSession
     exact = tokens.join(vocabulary.select(F.col("t").alias("token")), "token").select("token", F.col("token").alias("t"), F.lit(1.0).alias("sim"))
-    unknown = cut(tokens.join(vocabulary.select(F.col("t").alias("token")), "token", "left_anti"))
+    unknown = tokens.join(vocabulary.select(F.col("t").alias("token")), "token", "left_anti")
+    unknown = cut(unknown.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token"))  # short rows, but each is much work
     given = cut(_mapped(vocabulary.select("t"), "t string; v string", lambda t: [(t, v) for v in deletions(t, allowed(len(t)))]))
     bits = np.zeros(FILTER, dtype=bool)
     bits[given.select(F.pmod(F.crc32(F.col("v").cast("binary")), F.lit(FILTER)).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()] = True
