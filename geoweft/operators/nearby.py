@@ -78,7 +78,7 @@ def with_disc_cells(df: DataFrame, radius_m: float, level: int) -> DataFrame:
 
 def _spread_hot(queries: DataFrame, points: DataFrame, per_task: int) -> tuple[DataFrame, DataFrame]:
     """Split the cells that hold much of all points: a salt for each query, a copy of the point for each salt."""
-    hot = heavy_candidates(points, "cell", 0.002)
+    hot = heavy_candidates(points, "cell", 0.002, always=True)
     sizes = {}
     if hot:
         counts = points.where(F.col("cell").isin(hot)).groupBy("cell").count().where(F.col("count") > per_task).collect()  # at most 500 cells
@@ -117,7 +117,7 @@ def regions_holding(points: DataFrame, discs: DataFrame, radius_m: float) -> Dat
     regions = with_disc_cells(discs.where("lat IS NOT NULL AND lon IS NOT NULL").select("region_id", "lat", "lon"), radius_m, level)
     regions = regions.select(F.col("region_id").alias("q_id"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), "cell")
     stored, asked = base.withColumn("salt", F.lit(0)), regions.withColumn("salt", F.lit(0))
-    hot = heavy_candidates(base, "cell", 0.002)
+    hot = heavy_candidates(base, "cell", 0.002, always=True)
     if hot:  # the points of a hot cell draw a salt, the discs over it are copied to each salt
         salts = 32
         stored = base.withColumn("salt", F.when(F.col("cell").isin(hot), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).otherwise(0))

@@ -32,12 +32,12 @@ def is_small(df: DataFrame) -> bool:
     return unit in SCALES and float(size) * SCALES[unit] < SMALL_BYTES
 
 
-def heavy_candidates(df: DataFrame, key: str, support: float = 0.005, rows: int = HEAVY_ROWS) -> list:
+def heavy_candidates(df: DataFrame, key: str, support: float = 0.005, rows: int = HEAVY_ROWS, *, always: bool = False) -> list:
     """Every value of ``key`` that holds more than ``support`` of the non-null rows, or more than ``rows`` rows; at most ``TRACKED`` values, some may be lighter.
 
-    Tables that the planner puts below ``SMALL_BYTES`` have none: one task can take them whole. The sketch overstates a count by at most 3.5 / TRACKED of the rows, so in tables above ``rows`` * TRACKED / 3.5 (2.3 billion) rows that share takes the place of ``rows``.
+    Tables that the planner puts below ``SMALL_BYTES`` have none, as one task can take them whole, unless ``always`` is set (where work grows faster than rows). The sketch overstates a count by at most 3.5 / TRACKED of the rows, so in tables above ``rows`` * TRACKED / 3.5 (2.3 billion) rows that share takes the place of ``rows``.
     """
-    if is_small(df):
+    if not always and is_small(df):
         return []
     found = df.select(F.col(key).alias("k")).where("k IS NOT NULL").agg(F.count("k").alias("n"), F.expr(f"approx_top_k(k, {MOST_HEAVY}, {TRACKED})").alias("top")).head()
     least = min(support * found["n"], max(rows, found["n"] * 3.5 / TRACKED))
