@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import is_small
 from .boosting import Boosted, calibrated_threshold
 
 KINDS = ("email", "phone", "identity", "address", "name")
@@ -532,7 +533,7 @@ def word_usage(texts: DataFrame, text: str) -> np.ndarray:
     t, lower, upper = F.col(f"`{text}`"), r"\p{L}{2,}", r"(?:^|[.!?…\n/—:]\s*|@\w+ )(\p{L}{2,})"
     starts = F.regexp_extract_all(t, F.lit(upper), F.lit(1))
     every = F.regexp_extract_all(t, F.lit(lower), F.lit(0))
-    each = texts.where(t.isNotNull()).select(F.explode(F.concat(F.transform(every, lambda w: F.struct(w.alias("w"), F.lit(1).alias("n"))), F.transform(starts, lambda w: F.struct(w.alias("w"), F.lit(-1).alias("n"))))).alias("x"))
+    each = spread(texts.select(t.alias(text))).where(t.isNotNull()).select(F.explode(F.concat(F.transform(every, lambda w: F.struct(w.alias("w"), F.lit(1).alias("n"))), F.transform(starts, lambda w: F.struct(w.alias("w"), F.lit(-1).alias("n"))))).alias("x"))
     low, small = F.lower("x.w"), F.col("x.w") == F.lower("x.w")
     counted = each.groupBy(F.pmod(F.crc32(low.cast("binary")), F.lit(CASES)).cast("int").alias("k")).agg(
         F.sum(F.when(small & (F.col("x.n") == 1), 1).otherwise(0)).alias("low"),
@@ -557,6 +558,11 @@ def fitted(texts: DataFrame, text: str, names: DataFrame, places: DataFrame, mos
     return texts.sparkSession.sparkContext.broadcast(Selector(given, known, usage=word_usage(texts, text)))
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """A small table over all cores, as it may lie in one file; large ones are read in parts anyway."""
+    return texts.repartition(texts.sparkSession.sparkContext.defaultParallelism) if is_small(texts) else texts
+
+
 def find_details(texts: DataFrame, key: str, text: str, names: DataFrame, places: DataFrame, most: int = 50_000) -> DataFrame:
     """``key, kind, found``: one row for each detail as it stands in the text, repeats included."""
     shared = fitted(texts, text, names, places, most)
@@ -574,7 +580,7 @@ def find_details(texts: DataFrame, key: str, text: str, names: DataFrame, places
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=[key, "kind", "found"])
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, kind string, found string")
+    return spread(texts.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, f"`{key}` {kind}, kind string, found string")
 
 
 def redact_texts(texts: DataFrame, key: str, text: str, names: DataFrame, places: DataFrame, most: int = 50_000) -> DataFrame:
@@ -590,4 +596,4 @@ def redact_texts(texts: DataFrame, key: str, text: str, names: DataFrame, places
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string()), pa.array([len(f) for f in found], pa.int32())], names=[key, "redacted", "details"])
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, redacted string, details int")
+    return spread(texts.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, f"`{key}` {kind}, redacted string, details int")
