@@ -154,9 +154,10 @@ def modes(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def centroids(df: DataFrame, key: str, least: int = 1) -> DataFrame:
-    """Mean point of each key with at least ``least`` located rows."""
-    out = salted_aggregate(df.where("lat IS NOT NULL AND lon IS NOT NULL"), key, {"lat": ("avg", "lat"), "lon": ("avg", "lon"), "n": ("count", None)})
-    return out.where(F.col("n") >= least)
+    """Mean point of each key with at least ``least`` located rows. Sums are decimal, so the order of the rows never shows in the mean."""
+    rows = df.where("lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180").withColumns({c: F.col(c).cast("decimal(24,20)") for c in ("lat", "lon")})
+    out = salted_aggregate(rows, key, {"lat": ("sum", "lat"), "lon": ("sum", "lon"), "n": ("count", None)})
+    return out.where(F.col("n") >= least).withColumns({c: F.col(c).cast("double") / F.col("n") for c in ("lat", "lon")})
 
 
 def histogram(df: DataFrame, value: Column, name: str = "bin") -> DataFrame:

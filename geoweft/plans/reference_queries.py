@@ -241,7 +241,8 @@ def mode_location(spark, d):
 
 
 def centroid(spark, d):
-    return aggregates.centroids(gold_posts(spark, d), "user_id", 3).select("user_id", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "n")
+    rounded = [(F.round(F.col(c) * 10000) / 10000).alias(c) for c in ("lat", "lon")]  # as SQL rounds a double
+    return aggregates.centroids(gold_posts(spark, d), "user_id", 3).select("user_id", *rounded, "n")
 
 
 def pair_distance_hist(spark, d):

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -155,6 +156,18 @@ def test_upper_median_modes_quantiles(spark):
     assert {r["j"]: r["bound"] for r in aggregates.quantile_bounds(q, "v", 4).collect()} == {j: values[j * 50 // 4] for j in range(4)}
 
 
+def test_centroids_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    lats = (51.204751, 51.204739, 51.20476, -0.1, 0.2, 0.7)
+    rows = [(u, 10 * u + i, x, -x) for u, order in enumerate(itertools.permutations(lats)) for i, x in enumerate(order)]
+    df = spark.createDataFrame(rows, "user_id bigint, post_id bigint, lat double, lon double").coalesce(1)
+    want = float(sum(map(Decimal, map(str, lats)))) / 6
+    assert {(r["lat"], r["lon"], r["n"]) for r in aggregates.centroids(df, "user_id", 3).collect()} == {(want, -want, 6)}
+    tie = [(u, i, x, 1.0) for u, order in enumerate(itertools.permutations((67.727466, 44.046481, 45.636092, -38.225039))) for i, x in enumerate(order)]
+    tied = spark.createDataFrame(tie, df.schema).coalesce(1)
+    monkeypatch.setattr(reference_queries, "gold_posts", lambda spark, d: tied)
+    assert {r["lat"] for r in reference_queries.centroid(spark, "").collect()} == {29.7963}  # the mean is 29.79625
+
+
 def test_error_curve(spark):
     zero = spark.createDataFrame([(0.0,)] * 3, "km double")
     assert aggregates.error_auc(aggregates.error_cdf(zero, "km")).head()[0] == pytest.approx(1.0)
