@@ -356,6 +356,25 @@ def test_limits_have_the_fewest_errors():
     assert garbled.best_limits({}, 0) == garbled.START
 
 
+def test_limits_are_tried_on_every_word_chain_and_pair(model):
+    plain, foreign = ["so", "reader", "I", "Yes", "fine", "x"], ["café", "Mühle", "здесь"]
+    got = garbled.trials(model, plain + foreign, [1] * 6 + [5] * 3)
+    total = lambda kind: sum(n for k, n in got.items() if k[0] == kind)
+    assert total("clean") == 15 and total("lost") == 3  # "café" with one sign, "Mühle" with both; nothing is left of "здесь"
+    assert total("garbled") == sum(bool(x) and not x.isascii() for w in foreign for c in garbled.CHAINS for x in [garbled.garble(w, c)])
+    scraps = {w: sum(garbled.garble(c, k) is not None for c in set(w) if not c.isascii() for k in garbled.CHAINS[: garbled.UTF8_CHAINS]) for w in foreign}
+    assert total("scrap") == pytest.approx(sum(n / len(w) for w, n in scraps.items()))
+    alone = Counter()
+    for w in reversed(plain + foreign):
+        alone.update(garbled.trials(model, [w], [5 if w in foreign else 1]))
+    assert alone == pytest.approx(got)  # whatever the order and the batches
+    pairs = Counter()
+    for gain, mean, _ in model.filled([f"{a}?{b}" for a in plain for b in plain]):
+        pairs["joined", garbled.bisect_left(garbled.GAINS, gain), garbled.bisect_left(garbled.MEANS, mean)] += 1
+    assert garbled.joined(model, got) == pairs and garbled.joined(model, {}) == {}
+    assert [len("".join(["ab", "c" * 9, "d", "e"][x])) for x in garbled.pieces(["ab", "c" * 9, "d", "e"], 4)] == [2, 9, 2]
+
+
 def test_restored_texts_are_exact(spark):
     """Each text of the smallest table that is no case, garbled by a chain and restored, is the text again, for nine in ten."""
     path = "/root/testdata/sf0.001/documents.parquet"
