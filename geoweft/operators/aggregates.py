@@ -15,17 +15,38 @@ from .datasets import running_sum
 from .skew import heavy_candidates, salted_aggregate
 
 FARTHEST_KM = 20038
+FALLBACK_KM, FALLBACK_FROM_KM = 100.0, 19_800.0  # the ellipsoidal distance may be the great circle from here on, and is off by less than that
+
+
+def _near_antipodes(lat: np.ndarray, lon: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each member, at least the weight of the members within 0.02 radians of its antipode: those in the 27 cells around it."""
+    x, y = np.radians(lat), np.radians(lon)
+    at = np.stack([np.cos(x) * np.cos(y), np.cos(x) * np.sin(y), np.sin(x)])
+    near = np.zeros(len(lat))
+
+    def code(v: np.ndarray) -> np.ndarray:
+        return (v[0] * 128 + v[1]) * 128 + v[2]
+
+    cells, where = np.unique(code(np.floor(at / 0.02).astype(int) + 60), return_inverse=True)
+    held = np.bincount(where, weights=weight)
+    opposite = np.floor(-at / 0.02).astype(int) + 60
+    for step in np.ndindex(3, 3, 3):
+        asked = code(opposite + np.reshape(step, (3, 1)) - 1)
+        i = np.minimum(np.searchsorted(cells, asked), len(cells) - 1)
+        near += np.where(cells[i] == asked, held[i], 0.0)
+    return near
 
 
 def np_medoid(lat: np.ndarray, lon: np.ndarray, weight: np.ndarray, order: np.ndarray, kind: str) -> tuple[int, float, np.ndarray]:
     """(index, cost, distances) of the member with the smallest weighted sum of distances; ties go to the smallest ``order``.
 
     Members are tried from the least lower bound on; |cost(x) - cost(y)| <= W d(x, y) rules most of them out, so time and memory
-    stay far below all pairs.
+    stay far below all pairs. Members at one point never rule each other out: merge them first.
     """
     distance, n, total = np_distance(kind), len(lat), weight.sum()
     bound, best, at, away = np.zeros(n), np.inf, -1, np.zeros(n)
-    slack = 1 + 1e-9 if kind == "haversine" else 1.01  # the ellipsoidal distance is a metric only up to its accuracy
+    # the computed distance is a metric up to a metre; near antipodes, where the ellipsoidal one gives way to the great circle, up to FALLBACK_KM
+    loose = np.full(n, 1e-3 * total) + (FALLBACK_KM * _near_antipodes(lat, lon, weight) if kind == "vincenty" else 0.0)
     open_ = np.ones(n, dtype=bool)
     while open_.any():
         i = int(np.flatnonzero(open_)[np.argmin(bound[open_])])
@@ -36,11 +57,68 @@ def np_medoid(lat: np.ndarray, lon: np.ndarray, weight: np.ndarray, order: np.nd
         cost = float(round((weight * d).sum(), 6))
         if cost < best or (cost == best and order[i] < order[at]):
             best, at, away = cost, i, d
-        bound = np.maximum(bound, np.abs(cost - total * d * slack) - (slack - 1) * cost)
+        least = np.abs(cost - total * d) - loose - loose[i]
+        if kind == "vincenty":
+            least -= np.where(d > FALLBACK_FROM_KM, total * FALLBACK_KM, 0.0)
+        bound = np.maximum(bound, least)
         open_ &= bound <= best + 1e-6
     return at, best, away
 
 
+def np_medoids(g: dict[str, np.ndarray], key: str, kind: str, near_km: float, plain: int = 48, pairs: int = 1 << 17) -> tuple[np.ndarray, ...]:
+    """(row, cost, near, n) of the medoid of each group of the columns ``g`` (key, ord, lat, lon, weight, members), sorted by key and ord.
+
+    Groups of at most ``plain`` points form all pairs, groups of one size at once, ``pairs`` of them in one call.
+    """
+    starts = np.flatnonzero(np.r_[True, g[key][1:] != g[key][:-1]])
+    sizes = np.diff(np.r_[starts, len(g[key])])
+    at, cost, n = starts.copy(), np.zeros(len(starts)), np.add.reduceat(g["members"], starts)
+    near = n.copy()
+    for m in np.unique(sizes[(sizes > 1) & (sizes <= plain)]).tolist():
+        same = np.flatnonzero(sizes == m)
+        for part in np.array_split(same, -(-len(same) * m * m // pairs)):
+            rows = starts[part][:, None] + np.arange(m)
+            lat, lon, each = g["lat"][rows], g["lon"][rows], np.arange(len(part))
+            d = np_distance(kind)(lat[:, :, None], lon[:, :, None], lat[:, None, :], lon[:, None, :])
+            costs = np.array([round(c, 6) for c in (g["weight"][rows][:, None, :] * d).sum(axis=2).ravel().tolist()]).reshape(rows.shape)
+            best = costs.argmin(axis=1)  # the first of equal ones
+            at[part], cost[part] = rows[each, best], costs[each, best]
+            near[part] = np.where(d[each, best] <= near_km, g["members"][rows], 0).sum(axis=1)
+    for i in np.flatnonzero(sizes > plain).tolist():
+        x = {c: v[starts[i] : starts[i] + sizes[i]] for c, v in g.items()}
+        best, cost[i], away = np_medoid(x["lat"], x["lon"], x["weight"], x["ord"], kind)
+        at[i], near[i] = starts[i] + best, x["members"][away <= near_km].sum()
+    return at, cost, near, n
+
+
+def spread_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``df`` sorted by ``key`` and ``order`` in as many partitions as a shuffle has, however few bytes they hold: the work on a group grows faster than its bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, *order)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], key: str) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of sorted Arrow batches as numpy arrays, cut between groups: no group lies in two of them."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def join() -> dict[str, np.ndarray]:
+        return {c: np.concatenate([h[c] for h in held]) for c in names} if len(held) > 1 else held[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+        keys = columns[key]
+        last = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])
+        if last:
+            held.append({c: v[:last] for c, v in columns.items()})
+        if held and held[-1][key][-1] != keys[-1]:
+            yield join()
+            held = []
+        held.append({c: v[last:] for c, v in columns.items()})
+    if held:
+        yield join()
+
+
 def by_group(df: DataFrame, key: str, order: list[str], schema: str, run: Callable[[dict[str, np.ndarray]], tuple | None]) -> DataFrame:
     """Apply ``run`` to the columns of each group, as numpy arrays, in the order of ``order``.
 
@@ -75,33 +153,39 @@ def by_group(df: DataFrame, key: str, order: list[str], schema: str, run: Callab
         if held and (last := one(held)) is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in last], names=fields)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(scan, schema)
+    return spread_by(df, key, order).mapInArrow(scan, schema)
 
 
 def medoids(points: DataFrame, key: str, *, kind: str = "haversine", near_km: float = 100.0, large: int = 200_000) -> DataFrame:
     """``key, ord, lat, lon, cost, near, n``: the medoid of each group of ``points`` (key, ord, lat, lon, weight).
 
     ``ord`` breaks ties (smallest wins) and is unique in its group; ``near`` counts the members within ``near_km`` of the medoid.
-    Groups of more than ``large`` points are solved by rounds over the whole cluster instead of in one task.
+    Members at one point are merged first: where a hub's neighbours follow the hub, most of them share its point, and all have the same cost.
+    Groups of more than ``large`` different points are solved by rounds over the whole cluster instead of in one task.
     """
     points = points.select(key, "ord", "lat", "lon", F.col("weight").cast("double").alias("weight")).where(f"`{key}` IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    merged = points.groupBy(key, "lat", "lon").agg(F.min(F.struct("ord", "lat", "lon")).alias("p"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("members"))
+    points = merged.select(key, "p.ord", "p.lat", "p.lon", "weight", "members")
     hot = heavy_candidates(points, key)
     if hot:
         counts = points.where(F.col(key).isin(hot)).groupBy(key).count().where(F.col("count") > large).collect()
         hot = [r[0] for r in counts]
     schema = f"{key} bigint, ord bigint, lat double, lon double, cost double, near bigint, n bigint"
+    small = points.where(~F.col(key).isin(hot)) if hot else points
+    names = small.columns
 
-    def run(g: dict[str, np.ndarray]) -> tuple:
-        at, cost, away = np_medoid(g["lat"], g["lon"], g["weight"], g["ord"], kind)
-        return int(g[key][0]), int(g["ord"][at]), float(g["lat"][at]), float(g["lon"][at]), cost, int((away <= near_km).sum()), len(away)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in whole_groups(batches, names, key):
+            at, cost, near, n = np_medoids(g, key, kind, near_km)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[key][at], g["ord"][at], g["lat"][at], g["lon"][at], cost, near, n)], names=[f.split()[0] for f in schema.split(", ")])
 
-    small = points.where(~F.col(key).isin(hot)) if hot else points
-    out = by_group(small, key, ["ord"], schema, run)
+    out = spread_by(small, key, ["ord"]).mapInArrow(scan, schema)
     return out.unionByName(_large_medoids(points.where(F.col(key).isin(hot)), key, kind, near_km)) if hot else out
 
 
 def _large_medoids(points: DataFrame, key: str, kind: str, near_km: float, width: int = 64) -> DataFrame:
     """The medoids of few very large groups: in each round, the exact cost of the ``width`` most promising members of each group."""
+    points = points if "members" in points.columns else points.withColumn("members", F.lit(1).cast("bigint"))
     spread = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ord")  # rows of one group lie in many tasks
     state = cut(spread.withColumn("bound", F.lit(0.0)))
     every = state.drop("bound")
@@ -127,7 +211,7 @@ def _large_medoids(points: DataFrame, key: str, kind: str, near_km: float, width
     rows = [(k, o, la, lo, c) for k, (c, o, la, lo) in best.items()]
     found = F.broadcast(points.sparkSession.createDataFrame(rows, f"k {dict(points.dtypes)[key]}, o bigint, la double, lo double, cost double"))
     d = distance_km(kind, F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"))
-    counted = every.join(found, F.col(key) == F.col("k")).groupBy("k", "o", "la", "lo", "cost").agg(F.sum((d <= near_km).cast("bigint")).alias("near"), F.count(F.lit(1)).alias("n"))
+    counted = every.join(found, F.col(key) == F.col("k")).groupBy("k", "o", "la", "lo", "cost").agg(F.sum(F.when(d <= near_km, F.col("members")).otherwise(0)).alias("near"), F.sum("members").alias("n"))
     return counted.select(F.col("k").cast("bigint").alias(key), F.col("o").alias("ord"), F.col("la").alias("lat"), F.col("lo").alias("lon"), "cost", "near", "n")
 
 

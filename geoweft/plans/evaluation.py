@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,16 +124,21 @@ def home_locations(points: DataFrame, kind: str = "vincenty", size: int = 5, km:
     return medoids(settled, "user_id", kind=kind).select("user_id", "lat", "lon")
 
 
-def cross_validate(gold: DataFrame, home: DataFrame, posts: DataFrame, method: Callable[[DataFrame], DataFrame], folds: list[int]) -> DataFrame:
+def cross_validate(gold: DataFrame, home: DataFrame, posts: DataFrame, method: Callable[[DataFrame], DataFrame], folds: list[int], at_once: int = 1) -> DataFrame:
     """(fold, post_id, user_id, lat, lon): for each fold the method is trained without its users' homes and asked for their posts.
 
-    ``gold`` holds post_id, user_id and fold; ``posts`` post_id and user_id. Hold-out is by user.
+    ``gold`` holds post_id, user_id and fold; ``posts`` post_id and user_id. Hold-out is by user. ``at_once`` folds run side by side:
+    a method of many rounds is many small jobs, which leave most cores idle one after another.
     """
-    out = None
-    for fold in folds:
+
+    def part(fold: int) -> DataFrame:
         held = gold.where(F.col("fold") == fold).select("user_id").distinct()
         model = method(home.join(held, "user_id", "left_anti"))
         asked = skew_safe_semi(posts, held, "user_id").dropDuplicates(["post_id"])
-        part = infer_posts(asked, model).select(F.lit(fold).alias("fold"), "post_id", "user_id", "lat", "lon")
-        out = part if out is None else out.unionByName(part)
+        return infer_posts(asked, model).select(F.lit(fold).alias("fold"), "post_id", "user_id", "lat", "lon")
+
+    out = None
+    with ThreadPoolExecutor(at_once) as pool:
+        for found in pool.map(inheritable_thread_target(home.sparkSession)(part), folds):
+            out = found if out is None else out.unionByName(found)
     return out

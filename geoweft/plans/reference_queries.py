@@ -465,9 +465,9 @@ def cross_validate(spark, d):
 
 def cross_validate_whole(spark, d):
     """All folds, the method with its own rounds."""
-    gold = cut(datasets.assign_folds(gold_posts(spark, d), FOLDS))
+    gold = cut(datasets.assign_folds(cut(gold_posts(spark, d)), FOLDS))
     edges, home = cut(ties(spark, d)), cut(homes(spark, d))
-    return evaluation.cross_validate(gold, home, gold.select("post_id", "user_id"), lambda h: methods.spatial_label_propagation(edges, h, kind="haversine"), list(range(FOLDS)))
+    return evaluation.cross_validate(gold, home, gold.select("post_id", "user_id"), lambda h: methods.spatial_label_propagation(edges, h, kind="haversine"), list(range(FOLDS)), at_once=FOLDS)
 
 
 def home_locations(spark, d):

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import threading
+import time
 from decimal import Decimal
 
 import numpy as np
@@ -297,6 +299,53 @@ def test_whole_cross_validation_holds_out_every_fold(spark, monkeypatch):
     assert got == {u: ((u - 1) % 5, u * 10, *home[min(u - 1, 10) or 2]) for u in range(1, 14)}
 
 
+def test_whole_cross_validation_runs_its_folds_side_by_side(spark, monkeypatch):
+    gold = spark.createDataFrame([(u * 10, u, 0.0, 0.0) for u in range(1, 11)], "post_id bigint, user_id bigint, lat double, lon double")
+    monkeypatch.setattr(reference_queries, "gold_posts", lambda s, d: gold)
+    monkeypatch.setattr(reference_queries, "ties", lambda s, d: both_ways(spark, [(1, 2)]))
+    monkeypatch.setattr(reference_queries, "homes", lambda s, d: spark.createDataFrame([(1, 1.0, 1.0)], LOC))
+    all_in = threading.Barrier(5, timeout=60)
+    monkeypatch.setattr(methods, "spatial_label_propagation", lambda edges, home, **_: (all_in.wait(), home)[1])
+    assert reference_queries.QUERIES["cross_validate_whole"](spark, "").count() == 0
+
+
+def test_medoid_of_a_hub_whose_neighbours_share_its_point(spark):
+    crowd = spark.range(60_000).selectExpr("1L AS user_id", "id + 100 AS ord", "10.0D AS lat", "20.0D AS lon", "1.0D AS weight")
+    rest = [(1, 7, 10.5, 20.0, 3.0), (1, 8, -40.0, 100.0, 1.0), (2, 5, 1.0, 1.0, 1.0), (2, 4, 1.0, 2.0, 1.0), (3, 6, 0.0, 0.0, 2.0)]
+    began = time.time()
+    got = {r["user_id"]: r for r in aggregates.medoids(crowd.unionByName(spark.createDataFrame(rest, POINTS)), "user_id").collect()}
+    assert time.time() - began < 60  # one distance for each pair of members takes minutes
+    far = geo.np_haversine_km(10.0, 20.0, [10.5, -40.0], [20.0, 100.0])
+    assert (got[1]["ord"], got[1]["near"], got[1]["n"]) == (100, 60_001, 60_002) and got[1]["cost"] == pytest.approx(3 * far[0] + far[1], abs=1e-5)
+    assert (got[2]["ord"], got[2]["near"], got[2]["n"]) == (4, 1, 2) and (got[3]["ord"], got[3]["cost"], got[3]["n"]) == (6, 0.0, 1)
+
+
+@pytest.mark.parametrize("kind", ["haversine"])
+def test_medoids_equal_all_pairs(kind):
+    r, columns, want = np.random.default_rng(5), [], []
+    for k in range(80):
+        n = int(r.integers(1, 300 if k % 4 == 0 else 5))
+        lat, lon = r.uniform(-85, 85, n), r.uniform(-180, 180, n)
+        if k % 3 == 1:  # pairs at and beside antipodes
+            half = n // 2
+            lat[half : 2 * half], lon[half : 2 * half] = -lat[:half] + r.uniform(-0.3, 0.3, half), (lon[:half] + r.uniform(-0.3, 0.3, half)) % 360 - 180
+        weight, order, members = r.integers(1, 5, n).astype(float), np.sort(r.permutation(3 * n)[:n]), r.integers(1, 4, n)
+        d = geo.np_distance(kind)(lat[:, None], lon[:, None], lat, lon)
+        cost = [round(float((weight * x).sum()), 6) for x in d]
+        at = cost.index(min(cost))
+        assert aggregates.np_medoid(lat, lon, weight, order, kind)[:2] == (at, cost[at])
+        want.append((k, order[at], cost[at], members[d[at] <= 500].sum(), members.sum()))
+        columns.append((np.full(n, k), order, lat, lon, weight, members))
+    g = dict(zip(("key", "ord", "lat", "lon", "weight", "members"), map(np.concatenate, zip(*columns))))
+    at, *rest = aggregates.np_medoids(g, "key", kind, 500.0)
+    assert list(zip(g["key"][at], g["ord"][at], *rest)) == want
+
+
+def test_medoid_on_the_ellipsoid_is_exact():
+    lon, weight = np.array([5.4, 22.4, 22.5]), np.array([20.0, 34.0, 56.0])  # two members cost nearly the same
+    assert aggregates.np_medoid(np.zeros(3), lon, weight, np.arange(3), "vincenty")[:2] == (2, 38449.75212)
+
+
 def test_whole_methods_run_their_own_rounds(spark, monkeypatch):
     monkeypatch.setattr(reference_queries, "ties", lambda s, d: both_ways(spark, [(u, u + 1) for u in range(1, 8)]))
     monkeypatch.setattr(reference_queries, "homes", lambda s, d: spark.createDataFrame([(1, 10.0, 20.0)], LOC))
