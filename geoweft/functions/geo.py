@@ -36,13 +36,15 @@ def np_haversine_km(lat1, lon1, lat2, lon2) -> np.ndarray:
 
 def np_vincenty_km(lat1, lon1, lat2, lon2, rounds: int = 200, tolerance: float = 1e-12) -> np.ndarray:
     """Kilometres on the WGS-84 ellipsoid by Vincenty's inverse formula; the great circle where it does not converge (antipodes)."""
-    lat1, lon1, lat2, lon2 = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (lat1, lon1, lat2, lon2)))
+    lat1, lon1, lat2, lon2 = (np.asarray(v, dtype=float) for v in (lat1, lon1, lat2, lon2))
     b = WGS84_A * (1 - WGS84_F)
     u1, u2 = np.arctan((1 - WGS84_F) * np.tan(np.radians(lat1))), np.arctan((1 - WGS84_F) * np.tan(np.radians(lat2)))
     span = np.radians(lon2 - lon1)
     span = (span + np.pi) % (2 * np.pi) - np.pi
-    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
-    lam, done = span.copy(), np.zeros(span.shape, dtype=bool)
+    s1, c1, s2, c2, span = np.broadcast_arrays(np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2), span)
+    shape, far = span.shape, np_haversine_km(lat1, lon1, lat2, lon2).ravel()
+    s1, c1, s2, c2, span = (v.ravel() for v in (s1, c1, s2, c2, span))
+    lam, at = span, np.arange(len(span))  # pairs that have converged leave, so few slow ones don't hold up the rest
     with np.errstate(all="ignore"):
         for _ in range(rounds):
             sl, cl = np.sin(lam), np.cos(lam)
@@ -56,14 +58,19 @@ def np_vincenty_km(lat1, lon1, lat2, lon2, rounds: int = 200, tolerance: float =
             new = span + (1 - c) * WGS84_F * sin_a * (sigma + c * sin_s * (cos_m + c * cos_s * (2 * cos_m**2 - 1)))
             done = np.abs(new - lam) < tolerance
             lam = new
-            if done.all():
+            if not done.any():
+                continue
+            u = cos2_a[done] * (WGS84_A**2 - b**2) / b**2
+            sin_s, cos_s, cos_m, sigma = sin_s[done], cos_s[done], cos_m[done], sigma[done]
+            big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+            big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+            delta = big_b * sin_s * (cos_m + big_b / 4 * (cos_s * (2 * cos_m**2 - 1) - big_b / 6 * cos_m * (4 * sin_s**2 - 3) * (4 * cos_m**2 - 3)))
+            out = b * big_a * (sigma - delta)
+            far[at[done]] = np.where(np.isfinite(out), out, far[at[done]])
+            at, lam, s1, c1, s2, c2, span = (v[~done] for v in (at, lam, s1, c1, s2, c2, span))
+            if not len(at):
                 break
-        u = cos2_a * (WGS84_A**2 - b**2) / b**2
-        big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-        big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-        delta = big_b * sin_s * (cos_m + big_b / 4 * (cos_s * (2 * cos_m**2 - 1) - big_b / 6 * cos_m * (4 * sin_s**2 - 3) * (4 * cos_m**2 - 3)))
-        out = b * big_a * (sigma - delta)
-    return np.where(done & np.isfinite(out), out, np_haversine_km(lat1, lon1, lat2, lon2))
+    return far.reshape(shape)
 
 
 def np_distance(kind: str):

@@ -320,7 +320,7 @@ def test_medoid_of_a_hub_whose_neighbours_share_its_point(spark):
     assert (got[2]["ord"], got[2]["near"], got[2]["n"]) == (4, 1, 2) and (got[3]["ord"], got[3]["cost"], got[3]["n"]) == (6, 0.0, 1)
 
 
-@pytest.mark.parametrize("kind", ["haversine"])
+@pytest.mark.parametrize("kind", ["haversine", "vincenty"])
 def test_medoids_equal_all_pairs(kind):
     r, columns, want = np.random.default_rng(5), [], []
     for k in range(80):
@@ -346,6 +346,12 @@ def test_medoid_on_the_ellipsoid_is_exact():
     assert aggregates.np_medoid(np.zeros(3), lon, weight, np.arange(3), "vincenty")[:2] == (2, 38449.75212)
 
 
+def test_ellipsoidal_distance_of_a_pair_does_not_depend_on_the_others():
+    r = np.random.default_rng(2)
+    pairs = [np.append(r.uniform(-a, a, 50), last) for a, last in ((80, 10.0), (180, 20.0), (80, -10.1), (180, -160.2))]  # the last is beside antipodes
+    assert geo.np_vincenty_km(*pairs).tolist() == [float(geo.np_vincenty_km(*p)) for p in zip(*pairs)]
+
+
 def test_whole_methods_run_their_own_rounds(spark, monkeypatch):
     monkeypatch.setattr(reference_queries, "ties", lambda s, d: both_ways(spark, [(u, u + 1) for u in range(1, 8)]))
     monkeypatch.setattr(reference_queries, "homes", lambda s, d: spark.createDataFrame([(1, 10.0, 20.0)], LOC))
